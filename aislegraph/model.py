@@ -86,7 +86,10 @@ EAN_REGEX = r"^\d{8,14}$"
 
 def retailer_dim(spark: SparkSession) -> DataFrame:
     """The seven-row retailer dimension (bounded by construction)."""
-    rows = [(i, *row) for i, row in enumerate(RETAILERS)]
-    return spark.createDataFrame(
-        rows, "ordinal int, retailer string, label string, host string, base_url string"
+    values = ", ".join(
+        f"({i}, '{rid}', '{label}', '{host}', '{base}')"
+        for i, (rid, label, host, base) in enumerate(RETAILERS)
+    )
+    return spark.sql(
+        f"SELECT * FROM VALUES {values} AS dim(ordinal, retailer, label, host, base_url)"
     )

@@ -193,8 +193,9 @@ def freshness(board: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def local_date(instant: Column, zone: str = "Europe/Athens") -> Column:
-    return F.to_date(F.from_utc_timestamp(instant, zone))
+def local_date(utc: Column, zone: str = "Europe/Athens") -> Column:
+    """Calendar date in ``zone`` of a zone-less UTC clock reading."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz")))
 
 
 #: Listings per nested row; a product with more is split over several rows.

@@ -171,3 +171,35 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql,
     )
     return spark.sql(text, **inputs)
+
+
+_view("patches", "events", """
+    SELECT event_id AS seq, user_id * 13 + k AS product_id,
+           event_type = 'view' AS has_title,
+           CASE WHEN event_id % 9 = 0 THEN NULL
+                ELSE ' Νέος τίτλος ' || cast(event_id AS string) END AS title,
+           event_type = 'click' AS has_brand,
+           CASE WHEN event_id % 5 = 0 THEN '   ' ELSE ' Brand ' || cast(k AS string) END AS brand,
+           event_type = 'purchase' AS has_ean,
+           CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 8 = 0 THEN NULL
+                ELSE cast(5200000000000 + k * 20 + event_id % 3 AS string) END AS ean,
+           event_type = 'signup' AS has_size,
+           CASE WHEN event_id % 6 = 0 THEN 'x' ELSE cast(event_id % 900 AS string) END AS size_value,
+           CASE WHEN event_id % 4 = 0 THEN '  ' ELSE ' ml ' END AS size_unit,
+           event_type = 'view' AND event_id % 2 = 0 AS has_image,
+           CASE WHEN event_id % 3 = 0 THEN 'https://i.example.com/' || cast(k AS string) END
+               AS image_url
+    FROM (SELECT event_id, user_id, event_type,
+                 cast(regexp_extract(props, '([0-9]+)', 1) AS bigint) AS k FROM events) AS keyed
+""")
+_view("catalog_old", "lineitem", f"""
+    SELECT {_RETAILER} AS retailer, cast({_LISTING_ID} AS string) AS sku,
+           min(floor(l_extendedprice / l_quantity + 0.5) / 100) AS price_piece
+    FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2
+""")
+# One chain's crawl came back empty and one was rejected.
+_view("catalog_new", "lineitem", f"""
+    SELECT {_RETAILER} AS retailer, cast({_LISTING_ID} AS string) AS sku,
+           min(floor(l_extendedprice / l_quantity + 0.5) / 100) AS price_piece
+    FROM lineitem WHERE l_linenumber >= 2 AND l_suppkey % 7 <> 2 GROUP BY 1, 2
+""")

@@ -164,10 +164,6 @@ def stems_equivalent(a: Column, b: Column) -> Column:
     return (a_stem == b_stem) | F.coalesce(a["syn"] == b["syn"], F.lit(False)) | near
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def total_weight(toks: Column) -> Column:
     return F.aggregate(toks, F.lit(0.0), lambda acc, t: acc + t["weight"])
 
@@ -182,7 +178,7 @@ def fuzzy_jaccard(a: Column, b: Column) -> Column:
 
     def step(acc: Column, token: Column) -> Column:
         hit = F.try_element_at(F.filter(acc["rest"], lambda t: stems_equivalent(token, t)), F.lit(1))
-        return _let(hit, lambda m: F.struct(
+        return text.bind(hit, lambda m: F.struct(
             F.when(m.isNull(), acc["rest"])
             .otherwise(F.filter(acc["rest"], lambda t: t["i"] != m["i"])).alias("rest"),
             F.when(m.isNull(), acc["shared"])
@@ -191,7 +187,7 @@ def fuzzy_jaccard(a: Column, b: Column) -> Column:
 
     shared = F.aggregate(a, start, step, lambda acc: acc["shared"])
     union = total_weight(a) + total_weight(b)
-    return _let(shared, lambda s: F.when(union - s == 0, F.lit(0.0)).otherwise(s / (union - s)))
+    return text.bind(shared, lambda s: F.when(union - s == 0, F.lit(0.0)).otherwise(s / (union - s)))
 
 
 def brand_named(keys: Column, gate: Column) -> Column:

@@ -157,28 +157,40 @@ def js_round(col: Column) -> Column:
     return F.floor(col + F.lit(0.5)).cast("double")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a let expression)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def size(col: Column) -> Column:
-    """Declared pack size: struct(value, unit, count), null when none."""
-    text = plain_spaces(strip_accents(F.lower(col)))
-
-    def amount(regex: str, number_group: int) -> tuple[Column, Column]:
-        number = F.regexp_extract(text, regex, number_group)
-        unit = F.regexp_extract(text, regex, number_group + 1)
-        scaled = F.replace(number, F.lit(","), F.lit(".")).try_cast("double") * _unit_case(unit, 1)
-        return js_round(scaled), _unit_case(unit, 0)
-
-    count = F.regexp_extract(text, MULTIPACK_REGEX, 1).try_cast("int")
-    pack_value, pack_unit = amount(MULTIPACK_REGEX, 2)
-    one_value, one_unit = amount(SIZE_REGEX, 1)
-    multi = F.struct(
-        (pack_value * count).alias("value"), pack_unit.alias("unit"), count.alias("count")
-    )
-    single = F.struct(one_value.alias("value"), one_unit.alias("unit"), F.lit(1).alias("count"))
-    # Two cheap guards keep the regex work off rows without any digit.
-    return F.when(
-        text.rlike("[0-9]"),
-        F.when(pack_value.isNotNull() & (count > 0), multi).when(one_value.isNotNull(), single),
-    )
+    """Declared pack size: struct(value, unit, count), null when none.
+
+    A multipack reading wins over a plain one; either way the hit is cut out of
+    the title once and then taken apart.
+    """
+
+    def pick(title: Column) -> Column:
+        return bind(
+            F.regexp_extract(title, MULTIPACK_REGEX, 0),
+            lambda multi: F.when(multi.rlike("^0*[1-9]"), multi).otherwise(
+                F.regexp_extract(title, SIZE_REGEX, 0)
+            ),
+        )
+
+    def take_apart(hit: Column) -> Column:
+        pieces = F.struct(
+            F.coalesce(F.regexp_extract(hit, r"^(\d+)\s?[x×χ*]", 1).try_cast("int"), F.lit(1)).alias("n"),
+            F.translate(F.regexp_extract(hit, rf"({NUMBER})\s?\D+$", 1), ",", ".").cast("double").alias("m"),
+            F.regexp_extract(hit, r"\D+$", 0).alias("u"),
+        )
+        parsed = bind(pieces, lambda p: bind(F.trim(p["u"]), lambda u: F.struct(
+            (js_round(p["m"] * _unit_case(u, 1)) * p["n"]).alias("value"),
+            _unit_case(u, 0).alias("unit"), p["n"].alias("count"),
+        )))
+        return F.when(hit != "", parsed)
+
+    lowered = plain_spaces(strip_accents(F.lower(col)))
+    return F.when(col.rlike("[0-9]"), bind(lowered, lambda t: bind(pick(t), take_apart)))
 
 
 def percent(col: Column) -> Column:

@@ -34,15 +34,18 @@ def multi_pass_search(
     for number in range(4):
         asked = queries.filter(F.col("pass") == number)
         open_targets = targets if merged is None else linking.weak_chains(targets, merged)
+        # Many products share a query text (a brand, a plain title): search each once.
         live = asked.join(open_targets.select("product_id").distinct(), "product_id", "left_semi")
+        texts = live.select("query").distinct()
         terms = search.query_terms(
-            live.select(F.col("product_id").alias("query_id"), F.col("query")),
-            text.query_terms(F.col("query")),
+            texts.withColumn("query_id", F.col("query")), text.query_terms(F.col("query"))
         )
         hits = search.bm25_search(terms, postings, stats).select(
-            F.col("query_id").alias("product_id"), "retailer", "sku"
+            F.col("query_id").alias("query"), "retailer", "sku"
         )
-        wanted = hits.join(open_targets, ["product_id", "retailer"], "left_semi")
+        wanted = live.join(open_targets, "product_id").select("product_id", "query", "retailer").join(
+            hits, ["query", "retailer"]
+        ).drop("query")
         scored = linking.rank_results(
             wanted.join(catalog, ["retailer", "sku"]), products
         ).withColumn("pass", F.lit(number))

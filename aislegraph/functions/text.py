@@ -199,25 +199,30 @@ def percent(col: Column) -> Column:
     Piece i of the split is the text before match i, so offsets are running
     lengths; the two context windows are substrings around each match.
     """
-    hits = F.regexp_extract_all(col, F.lit(PERCENT_REGEX), 0)
-    pieces = F.split(col, PERCENT_REGEX, -1)
+    found = F.struct(
+        F.regexp_extract_all(col, F.lit(PERCENT_REGEX), 0).alias("hits"),
+        F.split(col, PERCENT_REGEX, -1).alias("pieces"),
+    )
 
     def total(parts: Column) -> Column:
         return F.aggregate(parts, F.lit(0), lambda acc, p: acc + F.length(p))
 
-    def judge(hit: Column, i: Column) -> Column:
-        start = total(F.slice(pieces, 1, i + 1)) + total(F.slice(hits, 1, i))
+    def value_of(f: Column, hit: Column, i: Column) -> Column:
+        start = total(F.slice(f["pieces"], 1, i + 1)) + total(F.slice(f["hits"], 1, i))
         left = F.substring(col, F.lit(1), start)
         lo = F.greatest(start - DISCOUNT_REACH, F.lit(0))
         window = F.substring(col, lo + 1, start - lo + F.length(hit) + DISCOUNT_REACH)
-        discounted = F.rtrim(plain_spaces(left)).rlike("[-−‑]$") | F.lower(
-            strip_accents(F.lower(window))
-        ).rlike(DISCOUNT_REGEX)
-        value = F.replace(F.regexp_extract(hit, NUMBER, 0), F.lit(","), F.lit("."))
+        discounted = F.rtrim(plain_spaces(left)).rlike("[-−‑]$") | strip_accents(F.lower(window)).rlike(
+            DISCOUNT_REGEX
+        )
+        value = F.translate(F.regexp_extract(hit, NUMBER, 0), ",", ".")
         return F.when(~discounted, value.cast("double"))
 
-    judged = F.filter(F.transform(hits, judge), lambda v: v.isNotNull())
-    return F.when(F.contains(col, F.lit("%")), F.try_element_at(judged, F.lit(1)))
+    def first_good(f: Column) -> Column:
+        judged = F.transform(f["hits"], lambda hit, i: value_of(f, hit, i))
+        return F.try_element_at(F.filter(judged, lambda x: x.isNotNull()), F.lit(1))
+
+    return F.when(F.contains(col, F.lit("%")), bind(found, first_good))
 
 
 def ean_of(col: Column) -> Column:

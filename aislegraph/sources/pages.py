@@ -43,11 +43,13 @@ def extract_tiles_sklavenitis(pages: DataFrame) -> DataFrame:
     A wishlist code belongs to the title right after it, so it is the element
     before the title in the list of matches.
     """
-    hits = F.regexp_extract_all("html", F.lit(TILE_REGEX), 0)
-    paired = F.transform(hits, lambda m, i: F.struct(
-        m.alias("tile"), F.when(i > 0, F.try_element_at(hits, i)).alias("before")
-    ))
-    tiles = pages.filter(F.contains("html", F.lit("product__title"))).select(
+    found = pages.filter(F.contains("html", F.lit("product__title"))).select(
+        "url", F.regexp_extract_all("html", F.lit(TILE_REGEX), 0).alias("hits")
+    )
+    # Shift the list by one instead of looking back by index: linear in the page.
+    before = F.concat(F.array(F.lit("")), F.slice("hits", 1, F.size("hits") - 1))
+    paired = F.arrays_zip(F.col("hits").alias("tile"), before.alias("before"))
+    tiles = found.filter(F.size("hits") > 0).select(
         "url", F.posexplode(paired).alias("pos", "t")
     ).select(F.col("url").alias("page_url"), "pos", "t.*").filter(F.startswith("tile", F.lit("<h4")))
     href = F.regexp_extract("tile", TILE_REGEX, 2)

@@ -16,10 +16,24 @@ from pyspark.sql.types import StructType
 from aislegraph.operators import cache, maintenance
 
 
+def _file_status(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(hadoop) if files.exists(hadoop) else None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _file_status(spark, path) is not None
+
+
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+    """A table folder (or one table file) as a stream of its files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    status = _file_status(spark, path)
+    if status is not None and status.isFile():
+        folder, name = path.rsplit("/", 1)
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
@@ -29,11 +43,6 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def stream_price_upsert(captures: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Late or repeated captures of a (listing, day) replace the earlier one."""
 

@@ -11,6 +11,7 @@ from aislegraph.model import (
     AUTO_PICK_THRESHOLD, EAN_CAPABLE, EAN_DISCOVERY_THRESHOLD, IDENTITY_CHAINS, MAX_CANDIDATES,
     SIZE_MATCH_BONUS, SIZE_UNVERIFIED_PENALTY, SUGGESTION_THRESHOLD,
 )
+from aislegraph.session import reuse
 
 #: A word on at least this share of the rows counts as hot. At most
 #: (mean words per title) / HOT_SHARE words can be, so the hot table is bounded.
@@ -151,10 +152,10 @@ def candidate_blocking(
     probes = F.when(
         sized, F.concat(family(_size_key(F.col("size")), both), family(F.lit("none"), one))
     ).otherwise(F.concat(family(F.lit("none"), min_score), family(F.lit("any"), one)))
-    a = titles.crossJoin(hot).select("a_id", "gate_word", F.explode(probes).alias("p")).select(
+    a = reuse(titles.crossJoin(hot).select("a_id", "gate_word", F.explode(probes).alias("p")).select(
         "a_id", F.col("gate_word").alias("gate_key"), F.col("p.stem").alias("a"),
         F.col("p.size_key").alias("size_key"),
-    )
+    ))
     size_keys = F.when(sized, F.array(_size_key(F.col("size")), F.lit("any"))).otherwise(
         F.array(F.lit("none"))
     )
@@ -163,7 +164,8 @@ def candidate_blocking(
         size_keys.alias("keys"),
     ).select("b_id", "gate_key", "b", F.explode("keys").alias("size_key"))
     equal = stem_equivalence(
-        a.select(F.col("a").alias("word")).distinct(), b.select(F.col("b").alias("word")).distinct()
+        a.select(F.col("a").alias("word")).distinct(),
+        candidates.select(F.explode("toks.stem").alias("word")).distinct(),
     )
     return (
         a.join(equal, "a").drop("a").join(b, ["b", "gate_key", "size_key"])
@@ -180,6 +182,7 @@ def similarity_join(
     ``titles`` and ``candidates`` are feature tables with ``a_id`` / ``b_id``;
     give distinct titles (see ``title_classes``) so that copies cost one row.
     """
+    titles, candidates = reuse(titles), reuse(candidates)
     pairs = candidate_blocking(titles, candidates, min_score, hard_gate)
     left = matching.pack(titles, "fa", ["a_id"])
     right = matching.pack(candidates, "fb", ["b_id"])

@@ -7,7 +7,8 @@ retailer listings, line items are daily price captures.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -157,20 +158,26 @@ def with_views(names: str, body: str) -> str:
     return f"WITH RECURSIVE {ctes} {body}"
 
 
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views (or given tables) as a Spark DataFrame."""
+    """One of the views (or given tables) as a Spark DataFrame.
+
+    A view is analysed once per application and folder; its inputs are named
+    temporary views so that the SQL text stays the one DuckDB reads.
+    """
     if name not in VIEWS:
         return load(spark, sf_dir, name)
-    needs, sql = VIEWS[name]
-    inputs = {need: view(spark, sf_dir, need) for need in needs}
-    text = reduce(
-        lambda acc, need: acc.replace(f"FROM {need}", f"FROM {{{need}}}").replace(
-            f"JOIN {need}", f"JOIN {{{need}}}"
-        ),
-        needs,
-        sql,
-    )
-    return spark.sql(text, **inputs)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        needs, text = VIEWS[name]
+        for need in needs:
+            named = f"v{crc32(sf_dir.encode()):08x}_{need}"
+            view(spark, sf_dir, need).createOrReplaceTempView(named)
+            text = re.sub(rf"\b(FROM|JOIN) {need}\b", rf"\1 {named}", text)
+        _BUILT[key] = spark.sql(text)
+    return _BUILT[key]
 
 
 _view("patches", "events", """

@@ -81,26 +81,49 @@ def prefix_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+#: Rarest terms intersected once per distinct combination before queries fan out.
+SHARED_TERMS = 3
+
+
 def _probe(terms: DataFrame, hits: DataFrame, counts: DataFrame) -> DataFrame:
     """Term matches of candidate documents.
 
-    Per (query, retailer) the rarest term lists candidates and the second rarest
-    thins them; only the survivors are probed with every term. Each step is an
-    equi-join on (prefix, document).
+    Terms of a (query, retailer) are ordered from rare to frequent. The first
+    few are intersected one by one, once per distinct combination however many
+    queries share it; only documents that survive are probed, per query, with
+    every term. Each step is an equi-join on (prefix, document).
     """
     ordered = F.array_sort(F.collect_list(F.struct("n", "prefix")))
     drivers = terms.join(counts, "prefix").groupBy("query_id", "retailer", "n_terms").agg(
         ordered.alias("by_n")
     ).filter(F.size("by_n") == F.col("n_terms"))
-    listed = drivers.select(
-        "query_id", "retailer", "n_terms", F.col("by_n")[0]["prefix"].alias("prefix"),
-        F.coalesce(F.try_element_at("by_n", F.lit(2)), F.col("by_n")[0])["prefix"].alias("second"),
-    )
+    chosen = F.slice(F.col("by_n.prefix"), 1, SHARED_TERMS)
+    listed = drivers.select("query_id", "retailer", "n_terms", chosen.alias("rare"))
     keys = hits.select("retailer", "prefix", "sku")
-    found = listed.join(keys, ["retailer", "prefix"]).drop("prefix")
-    thinned = found.withColumnRenamed("second", "prefix").join(
-        keys, ["retailer", "prefix", "sku"], "left_semi"
-    ).drop("prefix")
+    shared = listed.select("retailer", "rare").distinct()
+    found = None
+    for level in range(SHARED_TERMS):
+        # Nodes of this level: every distinct list of the ``level + 1`` rarest terms.
+        node = shared.select("retailer", F.slice("rare", 1, level + 1).alias("node")).distinct()
+        node = node.filter(F.size("node") == level + 1).withColumn(
+            "prefix", F.element_at("node", level + 1)
+        )
+        if found is not None:
+            parents = found.withColumnRenamed("node", "parent")
+            node = node.withColumn("parent", F.slice("node", 1, level)).join(parents, ["retailer", "parent"])
+            step = node.join(keys, ["retailer", "prefix", "sku"], "left_semi")
+        else:
+            step = node.join(keys, ["retailer", "prefix"])
+        found = step.select("retailer", "node", "sku")
+        done = shared.filter(F.size("rare") == level + 1) if level + 1 < SHARED_TERMS else None
+        if done is None:
+            full = found
+        else:
+            part = found.join(done.withColumnRenamed("rare", "node"), ["retailer", "node"], "left_semi")
+            collected = part if level == 0 else collected.unionByName(part)
+    thinned = listed.join(
+        collected.unionByName(full).withColumnRenamed("node", "rare"), ["retailer", "rare"]
+    ).drop("rare")
     asked = thinned.join(terms.select("query_id", "prefix"), "query_id")
     return asked.join(hits, ["retailer", "prefix", "sku"])
 

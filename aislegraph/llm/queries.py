@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold("doc_id", 4) == 2).alias("held_out"))
     return predict(docs, train(docs.where(~F.col("held_out")))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_repeated_windows")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_deleted_interpolation")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), lambda doc_id: zlib.crc32(str(doc_id).encode()) % 5 == 1)

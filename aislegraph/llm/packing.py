@@ -26,7 +26,7 @@ from aislegraph.llm.tokens import piece_tokenizer
 from aislegraph.session import cut_lineage
 
 SEQUENCE_TOKENS = 2048
-ROWS_PER_RANK_TASK = 20_000
+ROWS_PER_RANK_TASK = 2_000
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

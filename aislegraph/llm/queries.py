@@ -71,3 +71,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.scoring import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"), lambda doc_id: zlib.crc32(str(doc_id).encode()) % 5 == 1)
+
+
+@query("op3_multi_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.multi_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
+@query("op4_benchmark_leaks")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.leaks import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -85,3 +85,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.leaks import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_near_copies")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.near_copies import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))

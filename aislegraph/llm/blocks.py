@@ -80,12 +80,23 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFr
             yield closed()
 
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, "block long, payload binary, n_bytes long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut_lineage(packed.repartition(parts, "block"))
+    blocks = _dealt(packed)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     return blocks.select("block", "payload"), max(4, math.ceil(total / BUCKET_BYTES))
 
 
+def _dealt(packed: DataFrame) -> DataFrame:
+    """Dealt by block and stored. The checkpoint keeps the partitioning, so that later joins move the
+    replies alone; a plan under adaptive execution would not tell it."""
+    conf = packed.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(packed.repartition(int(conf.get("spark.sql.shuffle.partitions")), "block"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def bucket_bounds(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     """Where each bucket's keys begin among the sorted keys (n_buckets + 1)."""
     of = ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)

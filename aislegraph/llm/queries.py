@@ -92,3 +92,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.near_copies import near_copies
 
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.secret_scan import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))

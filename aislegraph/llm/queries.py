@@ -99,3 +99,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.secret_scan import scan_secrets, secret_digest
 
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.personal_data import find_personal_data, personal_data_digest
+
+    return personal_data_digest(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -44,7 +44,7 @@ class _Tokens:
         context = np.concatenate([[START], tokens[:-1]]).astype(np.uint64)
         context[self.before[:-1]] = START
         self.unigrams = tokens | np.uint64(1)
-        self.bigrams = mix(tokens + mix(context)) & ~np.uint64(1)
+        self.bigrams = mix(tokens + mix(context)) & ~np.uint64(0xFF)  # 56 bits: most keys are bigrams
         self.doc = np.repeat(np.arange(docs), np.diff(self.before))
         self.opens = context == START
         self.held_out = np.array([held_out_fold(d) for d in self.batch.column(0).to_pylist()], dtype=bool)

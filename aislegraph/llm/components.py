@@ -17,13 +17,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     both = cut_lineage(both.distinct())
     labels = cut_lineage(both.groupBy("id").agg(F.min("other").alias("component")).select("id", F.least("id", "component").alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.least("component", "near").alias("low"), F.col("component").alias("old"))
-        # Roots learn from their members, members from their root.
-        told = lower.groupBy("old").agg(F.min("low").alias("told")).withColumnRenamed("old", "id")
-        heard = lower.join(told, "id", "left").select("id", F.least("low", F.coalesce("told", "low")).alias("low"), "old")
-        roots = heard.select(F.col("id").alias("low"), F.col("low").alias("root"))
-        new = cut_lineage(heard.join(roots, "low", "left").select("id", F.least("low", F.coalesce("root", "low")).alias("component"), (F.least("low", F.coalesce("root", "low")) < F.col("old")).alias("moved")))
+        # Merge joins: nothing passes through the driver, however small a round's tables are.
+        near = both.join(labels.withColumnRenamed("id", "other").hint("merge"), "other").groupBy("id").agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "id").select("id", F.least("component", "near").alias("low"), F.col("component").alias("old"))
+        # Roots learn from their members, then members take their root's label.
+        told = lower.groupBy(F.col("old").alias("id")).agg(F.min("low").alias("told"))
+        roots = lower.join(told.hint("merge"), "id", "left").select("id", F.least("low", F.coalesce("told", "low")).alias("low"), "old")
+        jump = roots.select(F.col("id").alias("low"), F.col("low").alias("root"))
+        root = F.least("low", F.coalesce("root", "low"))
+        new = cut_lineage(roots.join(jump.hint("merge"), "low", "left").select("id", root.alias("component"), (root < F.col("old")).alias("moved")))
         labels = new.select("id", "component")
         if new.where("moved").isEmpty():
             return labels

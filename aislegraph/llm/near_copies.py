@@ -40,7 +40,7 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 POSITIONS = 64
 TREES = 20
-LEAF_SETS = 200
+LEAF_SETS = 1_000
 LEVELS = 4
 LIKELY = 35  # of POSITIONS; a pair at the threshold agrees less often once in 5,000 cases, and shares several leaves
 ESTIMATE_SLACK = 0.2
@@ -342,14 +342,16 @@ def near_copies(docs: DataFrame, trees: int = TREES) -> DataFrame:
     for more in leaves[1:]:
         leaf_rows = leaf_rows.union(more)
     leaf_rows = cut_lineage(leaf_rows.join(signatures, "id"))
+    # A set linked to a leader is in the leader's component.
+    labels = _union(links).where(LINKED).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")) if links else None
     for forest in (True, False):
-        labels = connected_components(_union(links).where(LINKED)) if links else None
         labelled = leaf_rows.withColumn("component", F.col("id")) if labels is None else leaf_rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = likely_pairs(labelled, forest)
         if links:
             pairs = pairs.join(_union(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         links.append(confirm(pairs, docs))
-    labels = connected_components(_union(links).where(LINKED))
+        if forest or not links[-1].where(LINKED).isEmpty():
+            labels = connected_components(_union(links).where(LINKED))
     grouped = copies.distinct().join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
     # A doc_id with several texts joins their groups.
     grouped = grouped.groupBy("doc_id").agg(F.min("component").alias("component_id"))

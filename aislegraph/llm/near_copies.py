@@ -10,7 +10,7 @@ grown, so that the chance that a pair at the threshold shares no leaf is negligi
 Groups of near copies do not split under branching. In a large node every set is therefore
 compared with one of them, the leader; sets that are linked to it leave the node unless the
 distances (Jaccard distance is a metric) leave room for a link to a set that is not. What is still
-large after ``LEVELS`` levels is compared in pairs of blocks of bounded size. Nothing is dropped.
+large after ``LEVELS`` more levels is compared in pairs of blocks of bounded size. Nothing is dropped.
 
 Signatures only pick pairs; every link is confirmed on the full sets. Pairs whose ends are
 already connected need no check: first a spanning forest of each leaf is confirmed, then all
@@ -41,7 +41,7 @@ SIMILARITY_PERCENT = 75
 POSITIONS = 64
 TREES = 20
 LEAF_SETS = 1_000
-LEVELS = 4
+LEVELS = 3
 LIKELY = 35  # of POSITIONS; a pair at the threshold agrees less often once in 5,000 cases, and shares several leaves
 ESTIMATE_SLACK = 0.2
 MASK_BITS = 23
@@ -111,7 +111,7 @@ def children(nodes: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def grow_roots(sets: DataFrame, trees: int) -> DataFrame:
-    """node, id of the first level of all trees."""
+    """node, id of the second level of all trees: sets that share one line part here already."""
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,8 @@ def grow_roots(sets: DataFrame, trees: int) -> DataFrame:
                 signatures = _matrix(batch.column(1))
                 for root in roots:
                     row, child = children(np.full(batch.num_rows, root, dtype=np.uint64), signatures)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row))], ["node", "id"])
+                    again, child = children(child, signatures[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row[again]))], ["node", "id"])
 
     return sets.select("id", "signature").mapInArrow(work, "node long, id long")
 

@@ -67,6 +67,15 @@ def plain_spaces(col: Column) -> Column:
     return F.translate(col, WIDE_SPACES, " " * len(WIDE_SPACES))
 
 
+#: White space that scripts on web pages trim, beyond what SQL's trim removes.
+TRIMMED = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def full_trim(col: Column) -> Column:
+    """Without any white space at either end: tabs, line ends and no-break spaces too."""
+    return F.regexp_replace(col, rf"^{TRIMMED}++|(?<!{TRIMMED}){TRIMMED}++$", "")
+
+
 def strip_accents(col: Column) -> Column:
     """Drop diacritics of an already lower-cased string."""
     return F.translate(col, ACCENTED + DELETED_MARKS, UNACCENTED)
@@ -183,7 +192,7 @@ def size(col: Column) -> Column:
             F.translate(F.regexp_extract(hit, rf"({NUMBER})\s?\D+$", 1), ",", ".").cast("double").alias("m"),
             F.regexp_extract(hit, r"\D+$", 0).alias("u"),
         )
-        parsed = bind(pieces, lambda p: bind(F.trim(p["u"]), lambda u: F.struct(
+        parsed = bind(pieces, lambda p: bind(full_trim(p["u"]), lambda u: F.struct(
             (js_round(p["m"] * _unit_case(u, 1)) * p["n"]).alias("value"),
             _unit_case(u, 0).alias("unit"), p["n"].alias("count"),
         )))
@@ -199,6 +208,7 @@ def percent(col: Column) -> Column:
     Piece i of the split is the text before match i, so offsets are running
     lengths; the two context windows are substrings around each match.
     """
+    col = plain_spaces(col)
     found = F.struct(
         F.regexp_extract_all(col, F.lit(PERCENT_REGEX), 0).alias("hits"),
         F.split(col, PERCENT_REGEX, -1).alias("pieces"),

@@ -41,7 +41,7 @@ def contains_all(hay: Column, terms: Column) -> Column:
 
 
 def long_enough(col: Column, least: int) -> Column:
-    return F.length(F.trim(col)) >= least
+    return F.length(text.full_trim(col)) >= least
 
 
 def has_price(piece: Column, unit: Column) -> Column:

@@ -198,29 +198,23 @@ def local_date(utc: Column, zone: str = "Europe/Athens") -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz")))
 
 
-#: Listings per nested row; a product with more is split over several rows.
-NEST_LIMIT = 1024
+def nest_listings(board: DataFrame) -> DataFrame:
+    """One row per listing with its null-safe latest price as a struct.
 
+    Rows are ordered by (product, listing) across range partitions, so a product's listings
+    stand next to each other and no product, however many it has, is gathered in one row.
+    """
+    point = F.when(F.col("scraped_date").isNotNull(), F.struct(*PRICE_FIELDS))
+    return board.select(
+        "product_id", "id", "retailer", "retailer_sku", "url", point.alias("latest_price")
+    ).orderBy("product_id", "id")
 
-def nest_listings(board: DataFrame, limit: int = NEST_LIMIT) -> DataFrame:
-    """Listings nested under their product with a null-safe latest price.
 
-    A product with more than ``limit`` listings is spread over
-    ceil(count / limit) rows by listing id, so no array and no task ever holds
-    an unbounded group; ordinary products are exactly one row.
-    """
-    counts = board.groupBy("product_id").agg(F.count("*").alias("n"))
-    point = F.when(
-        F.col("scraped_date").isNotNull(), F.struct(*PRICE_FIELDS)
-    )
-    item = F.struct("id", "retailer", "retailer_sku", "url", point.alias("latest_price"))
-    chunks = F.ceil(F.col("n") / F.lit(limit))
-    return (
-        board.join(counts, "product_id")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
-        .groupBy("product_id", "chunk")
-        .agg(F.array_sort(F.collect_list(item)).alias("listings"))
-    )
+def nest_picked(board: DataFrame, product_ids: list[int]) -> DataFrame:
+    """The listings of the products a caller picked, nested under each."""
+    rows = nest_listings(board.filter(F.col("product_id").isin(product_ids)))
+    item = F.struct("id", "retailer", "retailer_sku", "url", "latest_price")
+    return rows.groupBy("product_id").agg(F.array_sort(F.collect_list(item)).alias("listings"))
 
 
 def sort_listings(board: DataFrame) -> DataFrame:

@@ -142,9 +142,10 @@ def prefix_counts(hits: DataFrame) -> DataFrame:
 
 
 def bm25_search(
-    terms: DataFrame, postings: DataFrame, stats: DataFrame, cap: int | None = SEARCH_ROW_CAP
+    terms: DataFrame, postings: DataFrame, stats: DataFrame, cap: int | None
 ) -> DataFrame:
-    """Prefix-AND hits ranked by BM25, the best ``cap`` per (query, retailer)."""
+    """Prefix-AND hits ranked by BM25: the best ``cap`` per (query, retailer), which is the
+    search contract's own limit (``SEARCH_ROW_CAP``), or all of them when ``cap`` is None."""
     hits = reuse(prefix_postings(terms, postings))
     counts = prefix_counts(hits)
     n, total = F.col("n"), F.col("n_docs")
@@ -195,13 +196,14 @@ def merge_chain_results(*parts: DataFrame) -> DataFrame:
 
 
 def ean_first_search(queries: DataFrame, catalog: DataFrame, text_hits: DataFrame) -> DataFrame:
-    """Exact-barcode rows lead, then the text rows without the same skus."""
+    """Exact-barcode rows lead, then the text rows without the same skus, under their own barcode."""
     wanted = queries.filter(F.length("ean") > 0).select("query_id", F.col("ean").alias("code"))
     rows = catalog.select("retailer", "sku", F.explode(F.array_distinct("barcodes")).alias("code"))
     exact = rows.join(wanted, "code").select("query_id", "retailer", "sku", F.col("code").alias("ean"))
+    own = catalog.select("retailer", "sku", F.try_element_at("barcodes", F.lit(1)).alias("ean"))
+    texts = text_hits.select("query_id", "retailer", "sku").join(own, ["retailer", "sku"], "left")
     return priority_union(
-        exact, text_hits.select("query_id", "retailer", "sku", F.lit(None).cast("string").alias("ean")),
-        ["query_id", "retailer", "sku"],
+        exact, texts.select("query_id", "retailer", "sku", "ean"), ["query_id", "retailer", "sku"]
     )
 
 

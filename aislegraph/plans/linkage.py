@@ -11,13 +11,15 @@ from aislegraph.session import cut_lineage, reuse
 
 
 def multi_pass_search(
-    products: DataFrame, catalog: DataFrame, retailers: DataFrame
+    products: DataFrame, catalog: DataFrame, retailers: DataFrame, cap: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """Search every product at every retailer with progressively looser queries.
 
     ``catalog`` holds one row per (retailer, sku) with title, brand, ean, pos and
     retailer_no. Only (product, retailer) targets still below the suggestion
-    threshold run the next pass; passes merge per sku, the best score staying.
+    threshold run the next pass; passes merge per sku, the best score staying. Each text search
+    returns its best ``cap`` rows per chain (all with None). Products with a barcode also get
+    the rows of barcode-capable chains that carry it, whatever those rows' titles.
     Products without a barcode then adopt one from a strong match and search the
     barcode-capable chains that still lack one. Returns the merged rows and the
     discovered barcodes.
@@ -40,7 +42,7 @@ def multi_pass_search(
         terms = search.query_terms(
             texts.withColumn("query_id", F.col("query")), text.query_terms(F.col("query"))
         )
-        hits = search.bm25_search(terms, postings, stats).select(
+        hits = search.bm25_search(terms, postings, stats, cap).select(
             F.col("query_id").alias("query"), "retailer", "sku"
         )
         wanted = live.join(open_targets, "product_id").select("product_id", "query", "retailer").join(
@@ -49,6 +51,13 @@ def multi_pass_search(
         scored = linking.rank_results(
             wanted.join(catalog, ["retailer", "sku"]), products
         ).withColumn("pass", F.lit(number))
+        if merged is None:
+            known = products.filter(F.length("ean") > 0).select(F.col("id").alias("product_id"), F.col("ean").alias("query_ean"))
+            coded = catalog.filter(F.col("retailer").isin(linking.EAN_CAPABLE)).join(
+                known, F.col("ean") == F.col("query_ean")
+            )
+            exact = linking.rank_results(coded, products).withColumn("pass", F.lit(number)).drop("query_ean")
+            scored = linking.merge_best_score(scored.unionByName(exact))
         merged = scored if merged is None else linking.merge_best_score(merged.unionByName(scored))
         # Each pass reads the merged rows twice; without a cut the plan doubles per pass.
         merged = cut_lineage(merged)

@@ -49,11 +49,14 @@ def daily_refresh(
     ``targets`` come from ``scan_targets``; catalog-priced chains read
     ``catalog``, the others the captured ``pages(listing_id, status, price...)``.
     """
-    from_catalog = catalog_price_join(
-        targets.filter(F.col("retailer").isin(CATALOG_PRICED)), catalog
-    ).withColumn("status", F.when(F.col("hit"), F.lit(200)).otherwise(F.lit(0))).drop("hit")
-    live = targets.filter(~F.col("retailer").isin(CATALOG_PRICED)).join(
-        pages.withColumnRenamed("listing_id", "id"), "id"
+    priced_by_catalog = F.col("retailer").isin(CATALOG_PRICED)
+    joined = catalog_price_join(targets.filter(priced_by_catalog), catalog)
+    plain = [c for c in joined.columns if c not in ("hit", *PRICE_FIELDS)]
+    from_catalog = joined.filter("hit").drop("hit").withColumn("status", F.lit(200))
+    # Catalog misses fall back on their page; a listing without any page stays, as failed.
+    rest = targets.filter(~priced_by_catalog).unionByName(joined.filter("hit IS NULL").select(*plain), allowMissingColumns=True)
+    live = rest.join(pages.withColumnRenamed("listing_id", "id"), "id", "left").withColumn(
+        "status", F.coalesce("status", F.lit(0))
     )
     resolved = from_catalog.unionByName(live.select(*from_catalog.columns)).withColumnRenamed(
         "id", "listing_id"

@@ -57,7 +57,7 @@ def extract_tiles_sklavenitis(pages: DataFrame) -> DataFrame:
     sku = F.coalesce(_found(F.regexp_extract(href, SLUG_SKU_REGEX, 1)), _found(marked))
     title = text.decode_entities(text.strip_tags(F.regexp_extract("tile", TILE_REGEX, 3)))
     made = _offers(
-        tiles, "sklavenitis", ["page_url", "pos"], sku=sku, title=F.trim(title),
+        tiles, "sklavenitis", ["page_url", "pos"], sku=sku, title=text.full_trim(title),
         url=F.concat(F.lit(BASE_URL["sklavenitis"]), href),
     )
     return first_wins(made.filter(F.col("sku").isNotNull()), ["page_url", "sku"], ["pos"])
@@ -97,7 +97,7 @@ def extract_page_sklavenitis(pages: DataFrame) -> DataFrame:
     piece = F.filter("prices", lambda p: F.startswith(p["label"], F.lit("τεμ")))
     unit = F.filter("prices", lambda p: ~F.startswith(p["label"], F.lit("τεμ")))
     heading = F.regexp_extract("html", H1_REGEX, 1)
-    title = F.trim(text.decode_entities(text.strip_tags(heading)))
+    title = text.full_trim(text.decode_entities(text.strip_tags(heading)))
     return _offers(
         rows, "sklavenitis", url=F.col("url"), sku=_found(F.regexp_extract("html", CODE_REGEX, 1)),
         title=F.when(F.col("html").rlike(H1_REGEX), title),

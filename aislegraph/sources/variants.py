@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from aislegraph.functions.text import full_trim
+
 
 def parse(col: Column) -> Column:
     """Payload text to a variant, null when it is not valid JSON."""
@@ -38,4 +40,4 @@ def is_true(v: Column, path: str) -> Column:
 
 def first_text(v: Column, *paths: str) -> Column:
     """First text that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(text_at(v, p)), F.lit("")) for p in paths])
+    return F.coalesce(*[F.nullif(full_trim(text_at(v, p)), F.lit("")) for p in paths])

@@ -62,16 +62,17 @@ def _replace_batch(table: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def stream_daily_min(captures: DataFrame, table: str, checkpoint: str, delay: str = "3 days") -> StreamingQuery:
-    """Lowest piece price per product and day under a watermark. Changed minima
-    are written per batch; ``read_daily_min`` folds them."""
-    daily = (
-        captures.filter(F.col("price_piece").isNotNull())
-        .withWatermark("scraped_at", delay)
-        .groupBy(F.window("scraped_at", "1 day"), "product_id").agg(F.min("price_piece").alias("price"))
-        .select("product_id", F.to_date("window.start").alias("scraped_date"), "price")
-    )
-    return _start(daily, _replace_batch(table), checkpoint, "update")
+def stream_daily_min(captures: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Lowest piece price per product and day. Minima fold, so each batch writes its own and
+    ``read_daily_min`` takes the lowest: no state is kept and no late row is lost."""
+
+    def minima(batch: DataFrame, batch_id: int) -> None:
+        daily = batch.filter(F.col("price_piece").isNotNull()).groupBy(
+            "product_id", F.to_date("scraped_at").alias("scraped_date")
+        ).agg(F.min("price_piece").alias("price"))
+        _replace_batch(table)(daily, batch_id)
+
+    return _start(captures, minima, checkpoint, "append")
 
 
 def read_daily_min(spark: SparkSession, table: str) -> DataFrame:
@@ -84,7 +85,11 @@ def stream_first_wins(
     """First row per key in source order, whichever batch or task it arrives in."""
     rest = [c for c in rows.columns if c not in keys]
     first = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_first")
-    return _start(rows.groupBy(*keys).agg(first), _replace_batch(table), checkpoint, "update")
+
+    def firsts(batch: DataFrame, batch_id: int) -> None:
+        _replace_batch(table)(batch.groupBy(*keys).agg(first), batch_id)
+
+    return _start(rows, firsts, checkpoint, "append")
 
 
 def read_first_wins(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
@@ -92,12 +97,6 @@ def read_first_wins(spark: SparkSession, table: str, keys: list[str]) -> DataFra
     return folded.select(*keys, "_first.*")
 
 
-def drop_repeats(rows: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
-    """Streaming filter for feeds whose repeats are identical: one row per key
-    within the watermark."""
-    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def stream_ttl_cache(lookups: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """hit, expired or miss per lookup with a time to live by outcome.
 

@@ -508,7 +508,7 @@ def pass_queries(spark, sf):
 def searched(spark, sf):
     return linkage.multi_pass_search(
         products(spark, sf), results(spark, sf).drop("product_id"),
-        retailer_dim(spark).select("retailer", F.col("ordinal").alias("retailer_no")),
+        retailer_dim(spark).select("retailer", F.col("ordinal").alias("retailer_no")), search.SEARCH_ROW_CAP,
     )
 
 

@@ -175,15 +175,15 @@ def patches(spark, sf):
 PATCHED = """, checked AS (
     SELECT c.*, p.id IS NOT NULL AS known,
            CASE WHEN has_ean AND c.ean IS NOT NULL AND NOT regexp_full_match(c.ean, '[0-9]{8,14}')
-                     THEN 'ean must be 8-14 digits or null'
+                     THEN 'bad_ean'
                 WHEN has_brand AND coalesce(trim(c.brand), '') = ''
-                     THEN 'brand must be a non-empty string'
+                     THEN 'empty_brand'
                 WHEN has_title AND coalesce(trim(c.title), '') = ''
-                     THEN 'title must be a non-empty string'
+                     THEN 'empty_title'
                 WHEN has_size AND try_cast(c.size_value AS DOUBLE) IS NULL
-                     THEN 'sizeValue must be a number or null'
+                     THEN 'bad_size'
                 WHEN NOT (has_ean OR has_brand OR has_title OR has_size OR has_image)
-                     THEN 'no editable fields provided' END AS problem
+                     THEN 'nothing_to_edit' END AS problem
     FROM patches c LEFT JOIN products p ON p.id = c.product_id
 ), claims AS (
     SELECT ean, -1 AS seq, id FROM products WHERE ean IS NOT NULL UNION ALL
@@ -255,15 +255,15 @@ CREATION = """, requests AS (
                 THEN cast(5200000000000 + c_custkey % 500 AS VARCHAR) END AS ean
     FROM customer
 ), checked AS (
-    SELECT *, CASE WHEN trim(brand) = '' THEN 'brand is required'
-                   WHEN ean = '12' THEN 'ean must be 8-14 digits or null'
-                   WHEN bad_link THEN 'each listing needs retailer, retailerSku and url'
+    SELECT *, CASE WHEN trim(brand) = '' THEN 'missing_brand'
+                   WHEN ean = '12' THEN 'bad_ean'
+                   WHEN bad_link THEN 'incomplete_listing'
               END AS problem FROM requests
 ), report AS (
     SELECT c.seq, c.brand, c.title, c.ean,
            coalesce(problem, CASE WHEN c.ean IN (SELECT ean FROM products WHERE ean IS NOT NULL)
                OR c.seq > (SELECT min(d.seq) FROM checked d WHERE d.ean = c.ean AND d.problem IS NULL)
-               THEN 'a product with this barcode already exists' END) AS reason
+               THEN 'ean_taken' END) AS reason
     FROM checked c
 )"""
 

@@ -235,20 +235,13 @@ def local_date(spark, sf):
 
 
 @query("nest_listings", with_views("listings captures", f""", {BOARD}
-    SELECT product_id, cast(0 AS BIGINT) AS chunk, count(*) AS listings,
-           count(price_piece) AS priced, min(id) AS first_id,
-           string_agg(cast(id AS VARCHAR) || '@' || retailer, ',' ORDER BY id) AS ids
-    FROM board GROUP BY product_id"""))
+    SELECT product_id, id AS listing_id, retailer, scraped_date IS NOT NULL AS has_latest,
+           price_piece, price_unit FROM board"""))
 def nest_listings(spark, sf):
-    nested = prices.nest_listings(board(spark, sf))
-    items = F.col("listings")
-    return nested.select(
-        "product_id", "chunk", F.size(items).cast("bigint").alias("listings"),
-        F.size(F.filter(items, lambda x: x["latest_price"]["price_piece"].isNotNull()))
-        .cast("bigint").alias("priced"),
-        items[0]["id"].alias("first_id"),
-        F.array_join(F.transform(items, lambda x: F.concat(x["id"].cast("string"), F.lit("@"),
-                                                           x["retailer"])), ",").alias("ids"),
+    latest = F.col("latest_price")
+    return prices.nest_listings(board(spark, sf)).select(
+        "product_id", F.col("id").alias("listing_id"), "retailer", latest.isNotNull().alias("has_latest"),
+        latest["price_piece"].alias("price_piece"), latest["price_unit"].alias("price_unit"),
     )
 
 

@@ -37,7 +37,7 @@ OUTCOMES = f""", resolved AS (
 
 @query("missing_price_errors", with_views("captures", """
     SELECT listing_id, seq, 'listing ' || cast(listing_id AS VARCHAR) || ' (' || retailer ||
-           '): resolved but no price found — selector may have changed' AS error
+           '): no price on the page' AS error
     FROM captures WHERE price_piece IS NULL AND price_unit IS NULL"""))
 def missing_price_errors(spark, sf):
     return quality.missing_price_errors(view(spark, sf, "captures")).select("listing_id", "seq", "error")
@@ -68,24 +68,21 @@ def outcome_classify(spark, sf):
 
 
 @query("run_summary", with_views("captures products", f"""{OUTCOMES}
-    SELECT retailer, count(*) FILTER (outcome = 'priced') AS ok,
+    SELECT retailer, count(*) FILTER (outcome IN ('priced', 'gone')) AS ok,
            count(*) FILTER (outcome IN ('failed', 'no_price')) AS failed,
            count(*) FILTER (outcome = 'gone') AS warned FROM outcomes GROUP BY retailer"""))
 def run_summary(spark, sf):
     return quality.run_summary(quality.outcome_classify(captured(spark, sf)))
 
 
-MESSAGE = """CASE outcome
-    WHEN 'gone' THEN 'listing ' || cast(listing_id AS VARCHAR) || ' (' || retailer ||
-         '): page gone — offer likely ended; unlink the listing to stop tracking it'
-    WHEN 'no_price' THEN 'listing ' || cast(listing_id AS VARCHAR) || ' (' || retailer ||
-         '): resolved but no price found — selector may have changed'
-    ELSE 'listing ' || cast(listing_id AS VARCHAR) || ': HTTP ' || cast(status AS VARCHAR) END"""
+MESSAGE = """retailer || ' ' || cast(listing_id AS VARCHAR) || ': ' || CASE outcome
+    WHEN 'gone' THEN 'page no longer there' WHEN 'no_price' THEN 'no price on the page'
+    ELSE 'status ' || cast(status AS VARCHAR) END"""
 
 
 @query("run_messages", with_views("captures products", f"""{OUTCOMES}
     SELECT listing_id, retailer, CASE outcome WHEN 'gone' THEN 'warning' ELSE 'error' END AS severity,
-           {MESSAGE} AS message FROM outcomes WHERE outcome <> 'priced'"""))
+           outcome AS code, {MESSAGE} AS message FROM outcomes WHERE outcome <> 'priced'"""))
 def run_messages(spark, sf):
     return quality.run_messages(quality.outcome_classify(captured(spark, sf)))
 
@@ -155,8 +152,8 @@ def confusion_metrics(spark, sf):
 
 
 def price_catalog(spark, sf):
-    """Crawled catalog: the captures of early lines, in capture order."""
-    return view(spark, sf, "captures").filter("l_linenumber <= 4").select(
+    """Crawled catalog: every capture that loaded, in capture order."""
+    return captured(spark, sf).filter("status = 200").select(
         "retailer", F.col("listing_id").cast("string").alias("sku"), F.col("seq").alias("pos"),
         "price_piece", "price_unit", "unit_label",
         F.concat(F.lit("https://img.example.com/c/"), F.col("listing_id").cast("string")).alias("image_url"),
@@ -167,9 +164,9 @@ def targets(spark, sf):
     return scan_targets(view(spark, sf, "listings"), view(spark, sf, "products"))
 
 
-@query("catalog_price_join", with_views("listings captures", """, cat AS (
+@query("catalog_price_join", with_views("listings captures", f""", cat AS (
     SELECT retailer, cast(listing_id AS VARCHAR) AS sku, price_piece, price_unit FROM captures
-    WHERE l_linenumber <= 4
+    WHERE {STATUS} = 200
     QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY seq DESC, price_piece DESC NULLS LAST) = 1)
     SELECT l.id, l.retailer, c.price_piece, c.price_unit, c.sku IS NOT NULL AS hit
     FROM listings l LEFT JOIN cat c ON c.retailer = l.retailer AND c.sku = l.retailer_sku"""))
@@ -180,19 +177,19 @@ def catalog_price_join(spark, sf):
     )
 
 
-@query("catalog_misses", with_views("listings captures", """
+@query("catalog_misses", with_views("listings captures", f"""
     SELECT id, retailer FROM listings WHERE id NOT IN (
-        SELECT listing_id FROM captures WHERE l_linenumber <= 4)"""))
+        SELECT listing_id FROM captures WHERE {STATUS} = 200)"""))
 def catalog_misses(spark, sf):
     return refresh.catalog_misses(targets(spark, sf), price_catalog(spark, sf)).select("id", "retailer")
 
 
 def refreshed(spark, sf):
-    pages = captured(spark, sf).filter("l_linenumber >= 5").groupBy("listing_id").agg(
+    pages = captured(spark, sf).groupBy("listing_id").agg(
         F.max(F.struct("seq", "status", "price_piece", "price_unit", "unit_label")).alias("p")
     ).select("listing_id", "p.status", "p.price_piece", "p.price_unit", "p.unit_label",
              F.lit(None).cast("string").alias("image_url"))
-    history = view(spark, sf, "captures").filter("l_linenumber <= 2").select(
+    history = view(spark, sf, "captures").select(
         "listing_id", "scraped_date", F.col("scraped_at").cast("timestamp_ntz").alias("scraped_at"), "seq",
         "price_piece", "price_unit", "unit_label",
     )
@@ -205,18 +202,19 @@ def refreshed(spark, sf):
 
 REFRESH = f""", cat AS (
     SELECT listing_id, 200 AS status, price_piece, price_unit, unit_label FROM captures
-    WHERE l_linenumber <= 4
+    WHERE {STATUS} = 200
     QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY seq DESC, price_piece DESC NULLS LAST) = 1
 ), live AS (
     SELECT listing_id, {STATUS} AS status, price_piece, price_unit, unit_label FROM captures
-    WHERE l_linenumber >= 5
     QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY seq DESC, price_piece DESC NULLS LAST) = 1
 ), resolved AS (
-    SELECT l.id AS listing_id, l.product_id, l.retailer, coalesce(c.status, 0) AS status,
-           c.price_piece, c.price_unit FROM listings l LEFT JOIN cat c ON c.listing_id = l.id
+    SELECT l.id AS listing_id, l.product_id, l.retailer, coalesce(c.status, p.status, 0) AS status,
+           CASE WHEN c.status IS NULL THEN p.price_piece ELSE c.price_piece END AS price_piece,
+           CASE WHEN c.status IS NULL THEN p.price_unit ELSE c.price_unit END AS price_unit
+    FROM listings l LEFT JOIN cat c ON c.listing_id = l.id LEFT JOIN live p ON p.listing_id = l.id
     WHERE l.retailer IN ('ab', 'kritikos') UNION ALL
-    SELECT l.id, l.product_id, l.retailer, p.status, p.price_piece, p.price_unit
-    FROM listings l JOIN live p ON p.listing_id = l.id WHERE l.retailer NOT IN ('ab', 'kritikos')
+    SELECT l.id, l.product_id, l.retailer, coalesce(p.status, 0), p.price_piece, p.price_unit
+    FROM listings l LEFT JOIN live p ON p.listing_id = l.id WHERE l.retailer NOT IN ('ab', 'kritikos')
 ), outcomes AS (
     SELECT *, CASE WHEN status IN (404, 410) THEN 'gone' WHEN status <> 200 THEN 'failed'
                    WHEN price_piece IS NULL AND price_unit IS NULL THEN 'no_price'
@@ -225,7 +223,7 @@ REFRESH = f""", cat AS (
 
 
 @query("daily_refresh", with_views("listings captures", f"""{REFRESH}
-    SELECT retailer, count(*) FILTER (outcome = 'priced') AS ok,
+    SELECT retailer, count(*) FILTER (outcome IN ('priced', 'gone')) AS ok,
            count(*) FILTER (outcome IN ('failed', 'no_price')) AS failed,
            count(*) FILTER (outcome = 'gone') AS warned FROM outcomes GROUP BY retailer"""))
 def daily_refresh(spark, sf):
@@ -234,7 +232,7 @@ def daily_refresh(spark, sf):
 
 @query("daily_refresh_history", with_views("listings captures", f"""{REFRESH}
     SELECT listing_id, cast(scraped_date AS VARCHAR) AS scraped_date, price_piece, price_unit FROM (
-        SELECT listing_id, scraped_date, price_piece, price_unit FROM captures WHERE l_linenumber <= 2
+        SELECT listing_id, scraped_date, price_piece, price_unit FROM captures
         QUALIFY row_number() OVER (PARTITION BY listing_id, scraped_date ORDER BY seq DESC) = 1)
     UNION ALL
     SELECT listing_id, '2002-01-01', price_piece, price_unit FROM outcomes WHERE outcome = 'priced'"""))

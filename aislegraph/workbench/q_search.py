@@ -155,7 +155,7 @@ def catalog_hits(spark, sf):
     catalog = offers_catalog(spark, sf)
     return search.bm25_search(
         terms_of(product_queries(spark, sf)), reuse(search.build_search_index(catalog)),
-        search.corpus_stats(catalog),
+        search.corpus_stats(catalog), search.SEARCH_ROW_CAP,
     )
 
 
@@ -171,7 +171,8 @@ def bm25_search(spark, sf):
     SELECT p.id AS query_id, c.retailer, c.sku, p.ean FROM products p
     JOIN cat c ON c.product_ean = p.ean)
     SELECT query_id, retailer, sku, ean, 0 AS priority FROM exact UNION ALL
-    SELECT query_id, retailer, sku, NULL, 1 FROM top ANTI JOIN exact USING (query_id, retailer, sku)"""))
+    SELECT query_id, retailer, sku, cat.product_ean, 1 FROM top JOIN cat USING (retailer, sku)
+    ANTI JOIN exact USING (query_id, retailer, sku)"""))
 def ean_first_search(spark, sf):
     return search.ean_first_search(
         product_queries(spark, sf), offers_catalog(spark, sf), catalog_hits(spark, sf)

@@ -73,14 +73,40 @@ def test_ttl_stream_equals_replay(spark, tmp_path):
     assert cache.STATE == ["key", "cached_at", "found"]
 
 
-def test_nested_listings_split_a_huge_product(spark):
+def test_nested_listings_have_one_shape(spark):
     board = spark.range(5000).select(
-        "id", F.lit(1).alias("product_id"), F.lit("ab").alias("retailer"), F.lit("s").alias("retailer_sku"),
-        F.lit("u").alias("url"), F.lit(None).cast("date").alias("scraped_date"),
+        "id", F.when(F.col("id") < 4990, 1).otherwise(2).alias("product_id"), F.lit("ab").alias("retailer"), F.lit("s").alias("retailer_sku"),
+        F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, F.lit("2001-01-01").cast("date")).alias("scraped_date"),
         F.lit(1.0).alias("price_piece"), F.lit(None).cast("double").alias("price_unit"),
         F.lit(None).cast("string").alias("unit_label"))
-    made = prices.nest_listings(board, limit=1000).select(F.size("listings").alias("n")).collect()
-    assert len(made) == 5 and sum(r.n for r in made) == 5000 and max(r.n for r in made) < 1400
+    rows = prices.nest_listings(board).collect()
+    assert [(r.product_id, r.id) for r in rows] == sorted((1 if i < 4990 else 2, i) for i in range(5000))
+    assert all((r.latest_price is None) == (r.id % 2 == 1) for r in rows)
+    picked = prices.nest_picked(board, [2]).collect()
+    assert len(picked) == 1 and [x.id for x in picked[0].listings] == list(range(4990, 5000))
+
+
+def test_streams_equal_their_batch_twins_in_any_order(spark, tmp_path):
+    import datetime
+    import random
+
+    from aislegraph.streaming import jobs
+
+    rng = random.Random(1)
+    rows = [(rng.randrange(40), datetime.datetime(2001, 1, 1) + datetime.timedelta(days=rng.randrange(200)), float(rng.randrange(90)), i) for i in range(600)]
+    schema = "product_id bigint, scraped_at timestamp, price_piece double, seq bigint"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_batch=1)
+    jobs.stream_daily_min(stream, f"{tmp_path}/daily", f"{tmp_path}/c1").awaitTermination()
+    got = {(r.product_id, r.scraped_date): r.price for r in jobs.read_daily_min(spark, f"{tmp_path}/daily").collect()}
+    want = {}
+    for p, at, price, _ in rows:
+        want[p, at.date()] = min(price, want.get((p, at.date()), price))
+    assert got == want
+    jobs.stream_first_wins(stream, ["product_id"], ["seq"], f"{tmp_path}/first", f"{tmp_path}/c2").awaitTermination()
+    firsts = {r.product_id: r.seq for r in jobs.read_first_wins(spark, f"{tmp_path}/first", ["product_id"]).collect()}
+    assert firsts == {p: min(r[3] for r in rows if r[0] == p) for p in {r[0] for r in rows}}
 
 
 def test_ties_go_to_the_first(spark):

@@ -38,12 +38,12 @@ from aislegraph.session import cut_lineage
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
-POSITIONS = 64
-TREES = 20
-LEAF_SETS = 1_000
+POSITIONS = 128
+TREES = 12
+LEAF_SETS = 2_500
 LEVELS = 3
-LIKELY = 35  # of POSITIONS; a pair at the threshold agrees less often once in 5,000 cases, and shares several leaves
-ESTIMATE_SLACK = 0.2
+LIKELY = 79  # of POSITIONS; a pair at the threshold agrees less often once in 4,000 cases
+ESTIMATE_SLACK = 0.15
 MASK_BITS = 23
 
 
@@ -68,12 +68,12 @@ _SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xA0761D64
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The smallest of the set's values under each of POSITIONS hash functions, as 32 bits."""
+    """The smallest of the set's values under each of POSITIONS hash functions, cut to 16 bits."""
     out = np.full(POSITIONS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(shingles), 1024):
         h = shingles[at : at + 1024, None] * _SEEDS[None, :]
         out = np.minimum(out, (h >> np.uint64(32)).astype(np.uint32).min(axis=0))
-    return out
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, POSITIONS)
 
 
 def chosen(nodes: np.ndarray) -> np.ndarray:
@@ -119,9 +119,10 @@ def grow_roots(sets: DataFrame, trees: int) -> DataFrame:
             if batch.num_rows:
                 signatures = _matrix(batch.column(1))
                 for root in roots:
-                    row, child = children(np.full(batch.num_rows, root, dtype=np.uint64), signatures)
-                    again, child = children(child, signatures[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row[again]))], ["node", "id"])
+                    for position in np.flatnonzero(chosen(np.array([root]))[0]):
+                        child = mix(mix(root + _SEEDS[position : position + 1]) + signatures[:, position])
+                        row, child = children(child, signatures)
+                        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row))], ["node", "id"])
 
     return sets.select("id", "signature").mapInArrow(work, "node long, id long")
 

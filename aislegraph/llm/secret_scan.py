@@ -61,16 +61,16 @@ def _test(span: Column) -> Column:
     counts, and the p-values of the runs and serial-correlation tests."""
     value = span["value"]
     n = F.length(value)
-    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
     return F.element_at(F.transform(F.array(F.struct(span.alias("span"), n.alias("n"), codes.alias("x"), F.array_sort(codes).alias("sorted"))), _measure), 1)
 
 
 def _measure(t: Column) -> Column:
     n, x, ordered = t["n"], t["x"], t["sorted"]
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
 
     def step(acc: Column, v: Column) -> Column:
-        run = F.when(v == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
+        run = F.when(v == acc["last"], acc["run"] + 1).otherwise(F.lit(1).cast("long"))
         return F.struct(v.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
 
     squares = F.aggregate(ordered, start, step, lambda acc: acc["sum"])
@@ -83,7 +83,8 @@ def _measure(t: Column) -> Column:
     high = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v >= middle).cast("int"))
     runs = 1 + F.aggregate(F.zip_with(left, right, lambda a, b: ((a >= middle) != (b >= middle)).cast("int")), F.lit(0.0), lambda a, v: a + v)
     pairs = 2 * high * (n - high)
-    variance = pairs * (pairs - n) / (n * n * (n - 1.0))
+    size = n.cast("double")
+    variance = pairs * (pairs - size) / (size * size * (size - 1))
     z_runs = F.when(variance > 0, (runs - pairs / n - 1) / F.sqrt(variance)).otherwise(F.lit(9.0))
     two_sided = lambda z: F.least(2 * _upper_tail(F.abs(z)), F.lit(1.0))
     return F.struct(

@@ -223,7 +223,7 @@ def _accepted(candidates: DataFrame, model: tuple[float, list[Tree], dict[int, f
 
 def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of docs (doc_id among them) with arrays of spans: email, ip, card, phone and boosted."""
-    candidates = cut_lineage(_candidates(docs).select(*keep, *KINDS, "proposals"))
+    candidates = cut_lineage(_candidates(docs.select(*dict.fromkeys((*keep, "text")))).select(*keep, *KINDS, "proposals"))
     return _accepted(candidates, learn(vector_counts(candidates)))
 
 
@@ -239,6 +239,8 @@ def personal_data_digest(found: DataFrame) -> DataFrame:
 
 def redact_personal_data(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """The same columns, with every span replaced in the text (searched twice, so that texts are not stored)."""
-    model = learn(vector_counts(cut_lineage(_candidates(docs).select("doc_id", *KINDS, "proposals"))))
-    found = _accepted(_candidates(docs), model)
-    return found.withColumn("text", cover(F.col("text"), F.concat(*KINDS, "boosted"), mark)).select(docs.columns)
+    model = learn(vector_counts(cut_lineage(_candidates(docs.select("doc_id", "text")).select("doc_id", *KINDS, "proposals"))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # the input's columns may have any names
+    found = _accepted(_candidates(rows), model)
+    covered = cover(F.col("text"), F.concat(*KINDS, "boosted"), mark)
+    return found.select(*[covered.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

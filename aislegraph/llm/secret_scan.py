@@ -62,11 +62,23 @@ def _test(span: Column) -> Column:
     value = span["value"]
     n = F.length(value)
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    return F.element_at(F.transform(F.array(F.struct(span.alias("span"), n.alias("n"), codes.alias("x"), F.array_sort(codes).alias("sorted"))), _measure), 1)
+    read = F.struct(span.alias("span"), n.alias("n"), codes.alias("x"), F.array_sort(codes).alias("sorted"))
+    # A lambda works out a captured expression again for each element, so means are bound first.
+    return _bound(_bound(read, _with_centre), _measure)
+
+
+def _bound(value: Column, f) -> Column:
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _with_centre(t: Column) -> Column:
+    mean = F.aggregate(t["x"], F.lit(0.0), lambda a, v: a + v) / t["n"]
+    middle = F.element_at(t["sorted"], (t["n"] / 2).cast("int") + 1)
+    return F.struct(*[t[c].alias(c) for c in ("span", "n", "x", "sorted")], mean.alias("mean"), middle.alias("middle"))
 
 
 def _measure(t: Column) -> Column:
-    n, x, ordered = t["n"], t["x"], t["sorted"]
+    n, x, ordered, mean, middle = t["n"], t["x"], t["sorted"], t["mean"], t["middle"]
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
 
     def step(acc: Column, v: Column) -> Column:
@@ -74,12 +86,10 @@ def _measure(t: Column) -> Column:
         return F.struct(v.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
 
     squares = F.aggregate(ordered, start, step, lambda acc: acc["sum"])
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
     spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
     left, right = F.slice(x, 1, n - 1), F.slice(x, F.lit(2), n - 1)
     both = F.aggregate(F.zip_with(left, right, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
     serial = F.when(spread > 0, (both / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    middle = F.element_at(ordered, (n / 2).cast("int") + 1)
     high = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v >= middle).cast("int"))
     runs = 1 + F.aggregate(F.zip_with(left, right, lambda a, b: ((a >= middle) != (b >= middle)).cast("int")), F.lit(0.0), lambda a, v: a + v)
     pairs = 2 * high * (n - high)
@@ -203,6 +213,8 @@ def secret_digest(scanned: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """The same columns, with every span replaced in the text (scanned twice, so that texts are not stored)."""
-    lowest = thresholds(cut_lineage(_candidates(docs).select("tokens")))
-    scanned = _accepted(_candidates(docs), lowest)
-    return scanned.withColumn("text", cover(F.col("text"), F.concat("assign", "access", "hex", "random"), mark)).select(docs.columns)
+    lowest = thresholds(cut_lineage(_candidates(docs.select("text")).select("tokens")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # the input's columns may have any names
+    scanned = _accepted(_candidates(rows), lowest)
+    covered = cover(F.col("text"), F.concat("assign", "access", "hex", "random"), mark)
+    return scanned.select(*[covered.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

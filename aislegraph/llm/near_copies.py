@@ -13,8 +13,9 @@ distances (Jaccard distance is a metric) leave room for a link to a set that is
 large after ``LEVELS`` more levels is compared in pairs of blocks of bounded size. Nothing is dropped.
 
 Signatures only pick pairs; every link is confirmed on the full sets. Pairs whose ends are
-already connected need no check: first a spanning forest of each leaf is confirmed, then all
-remaining pairs between different components. Copies of one set are one set throughout.
+already connected need no check: first a spanning forest of each leaf is confirmed, then leaves
+that still hold likely pairs of different components are settled on the full sets of those pairs'
+members, one copy of a set for each leaf and no row for each pair. Copies of one set are one set throughout.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text
 of fewer than five words is one shingle; rows that share a doc_id are one document; a row with
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislegraph.llm.components import connected_components
-from aislegraph.llm.text import byte_hashes, gram_hashes, lower_table, mix, slices, span_hashes, text_buffer, word_spans
+from aislegraph.llm.text import byte_hashes, gram_hashes, lower_table, mix, ragged, slices, span_hashes, text_buffer, word_spans
 from aislegraph.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -146,8 +147,8 @@ def populated(rows: DataFrame) -> DataFrame:
     return rows.join(nodes.select("node", "size"), "node")
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, components and signatures of each leaf, from rows sorted by leaf."""
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each leaf, from rows sorted by leaf."""
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -164,11 +165,21 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield from _split(rest)
 
 
-def _split(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _split(rows: pa.Table) -> Iterator[pa.Table]:
     edges = [0, *(np.flatnonzero(np.diff(rows["leaf"].to_numpy())) + 1).tolist(), rows.num_rows]
-    ids, component, signatures = rows["id"].to_numpy(), rows["component"].to_numpy(), _matrix(rows["signature"])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield ids[a:b], component[a:b], signatures[a:b]
+        yield rows.slice(a, b - a)
+
+
+def _likely(component: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely similar pairs of sets of different components in a leaf, and in how many positions they agree."""
+    first, second = np.triu_indices(len(component), 1)
+    other = component[first] != component[second]
+    first, second = first[other], second[other]
+    parts = [(signatures[first[i : i + 4096]] == signatures[second[i : i + 4096]]).sum(axis=1) for i in range(0, len(first), 4096)]
+    agree = np.concatenate([np.zeros(0, np.int64), *parts])
+    use = np.flatnonzero(agree >= LIKELY)
+    return first[use], second[use], agree[use]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray, component: np.ndarray) -> list[int]:
@@ -190,48 +201,85 @@ def _forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray, component: np.ndarr
     return out
 
 
-def likely_pairs(leaves: DataFrame, forest: bool) -> DataFrame:
-    """Distinct pairs (a < b) of likely similar sets of different components in a leaf (leaf, id,
-    component, signature): a spanning forest of them, or all."""
+def likely_forest(leaves: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b): a spanning forest of the likely similar sets of different components of
+    each leaf (leaf, id, component, signature)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right)], ["a", "b"])
-
-        for ids, component, signatures in _leaves(batches):
-            if component.min() == component.max():
-                continue
-            first, second = np.triu_indices(len(ids), 1)
-            other = component[first] != component[second]
-            first, second = first[other], second[other]
-            agree = np.concatenate([(signatures[first[i : i + 4096]] == signatures[second[i : i + 4096]]).sum(axis=1) for i in range(0, len(first), 4096)])
-            use = np.flatnonzero(agree >= LIKELY)
-            if not len(use):
-                continue
-            first, second, agree = first[use], second[use], agree[use]
-            if forest:
+        for leaf in _leaves(batches):
+            ids, component = leaf["id"].to_numpy(), leaf["component"].to_numpy()
+            if component.min() != component.max():
+                first, second, agree = _likely(component, _matrix(leaf["signature"]))
                 keep = _forest(first, second, agree, component)
-                first, second = first[keep], second[keep]
-            left.append(np.minimum(ids[first], ids[second]))
-            right.append(np.maximum(ids[first], ids[second]))
-            if len(left) >= 1000:
-                yield out()
-                left, right = [], []
-        if left:
-            yield out()
+                x, y = ids[first[keep]], ids[second[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    rows = leaves.select("leaf", "id", "component", "signature").repartition("leaf").sortWithinPartitions("leaf")
-    return rows.mapInArrow(work, "a long, b long").where("a <> b").distinct()
+    return _by_leaf(leaves).mapInArrow(work, "a long, b long").where("a <> b").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, common, either (sizes of intersection and union) on the full sets of the pairs (stored)."""
-    spark = pairs.sparkSession
-    pairs = cut_lineage(pairs.select("a", "b"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    mask = spark.sparkContext.broadcast(id_mask(ids))  # 2 ** MASK_BITS bits
+def _by_leaf(leaves: DataFrame, *more: str) -> DataFrame:
+    return leaves.select("leaf", "id", "component", *(more or ("signature",))).repartition("leaf").sortWithinPartitions("leaf")
+
+
+def settle_leaves(leaves: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, common, either: links between different components of each leaf, a spanning forest of all
+    there are (stored). Leaves that hold a likely pair of different components get the full sets of
+    those pairs' members, and are compared by an inverted index within the leaf."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for leaf in _leaves(batches):
+            component = leaf["component"].to_numpy()
+            if component.min() != component.max():
+                first, second, _ = _likely(component, _matrix(leaf["signature"]))
+                use = pa.array(np.unique(np.concatenate([first, second])))
+                yield from leaf.select(["leaf", "id", "component"]).take(use).combine_chunks().to_batches()
+
+    open_rows = cut_lineage(_by_leaf(leaves).mapInArrow(work, "leaf long, id long, component long"))
+    sets = full_sets(open_rows.select("id").distinct(), docs)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for leaf in _leaves(batches):
+            out = list(zip(*_linked(leaf["id"].to_numpy(), leaf["component"].to_numpy(), [np.frombuffer(x, np.uint64) for x in leaf["set"].to_pylist()]), strict=True))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "common", "either"])
+
+    found = _by_leaf(open_rows.join(sets, "id"), "set").mapInArrow(compare, "a long, b long, common long, either long")
+    return cut_lineage(found.distinct())
+
+
+def _linked(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    tokens, token = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(token, minlength=len(tokens))
+    begin = np.cumsum(held) - held
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
+    names, counts = np.unique(component, return_counts=True)
+    parent = {int(c): int(c) for c in names}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x in np.flatnonzero(component != names[np.argmax(counts)]).tolist():  # of two components one is not the largest
+        own = token[ends[x] - sizes[x] : ends[x]]
+        common = np.bincount(holder[ragged(begin[own], held[own])], minlength=len(sets))
+        either = sizes[x] + sizes - common
+        for y in np.flatnonzero((100 * common >= SIMILARITY_PERCENT * either) & (component != component[x])).tolist():
+            p, q = top(int(component[x])), top(int(component[y]))
+            if p != q:
+                parent[p] = q
+                a, b = sorted((int(ids[x]), int(ids[y])))
+                out.append((a, b, int(common[y]), int(either[y])))
+    return out
+
+
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, set: the full shingle sets of the documents named (stored)."""
+    mask = ids.sparkSession.sparkContext.broadcast(id_mask(ids))  # 2 ** MASK_BITS bits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(mask.value, dtype=np.uint8), bitorder="little")
@@ -242,7 +290,13 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").withColumn("bit", mask_bit("id"))
-    sets = cut_lineage(rows.mapInArrow(work, "id long, set binary").join(ids, "id", "left_semi"))
+    return cut_lineage(rows.mapInArrow(work, "id long, set binary").join(ids, "id", "left_semi"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, common, either (sizes of intersection and union) on the full sets of the pairs (stored)."""
+    pairs = cut_lineage(pairs.select("a", "b"))
+    sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,14 +400,14 @@ def near_copies(docs: DataFrame, trees: int = TREES) -> DataFrame:
     leaf_rows = cut_lineage(leaf_rows.join(signatures, "id"))
     # A set linked to a leader is in the leader's component.
     labels = _union(links).where(LINKED).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")) if links else None
-    for forest in (True, False):
-        labelled = leaf_rows.withColumn("component", F.col("id")) if labels is None else leaf_rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = likely_pairs(labelled, forest)
-        if links:
-            pairs = pairs.join(_union(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        links.append(confirm(pairs, docs))
-        if forest or not links[-1].where(LINKED).isEmpty():
-            labels = connected_components(_union(links).where(LINKED))
+    pairs = likely_forest(_labelled(leaf_rows, labels))
+    if links:
+        pairs = pairs.join(_union(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links.append(confirm(pairs, docs))
+    labels = connected_components(_union(links).where(LINKED))
+    links.append(settle_leaves(_labelled(leaf_rows, labels), docs))
+    if not links[-1].isEmpty():
+        labels = connected_components(_union(links).where(LINKED))
     grouped = copies.distinct().join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
     # A doc_id with several texts joins their groups.
     grouped = grouped.groupBy("doc_id").agg(F.min("component").alias("component_id"))
@@ -362,6 +416,12 @@ def near_copies(docs: DataFrame, trees: int = TREES) -> DataFrame:
     )
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("id"))
+    return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

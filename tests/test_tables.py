@@ -158,7 +158,10 @@ def test_unit_price_check(spark):
     made = quality.unit_price_sanity(frame.withColumns({"product_title": F.lit("G 350g"), "retailer": F.lit("ab")}))
     assert [r.diverges for r in made.orderBy("listing_id").collect()] == [False, True, False, False, True]
     warned = made.withColumn("w", quality.sanity_warning()).filter("listing_id = 2").first().w
-    assert warned.startswith("listing 2 (ab): reported 15.00 €/κιλό but 3.14 €") and "8.97" in warned
+    assert warned.startswith("unit price 15.00 per κιλό stated, 8.97 implied by 3.14")
+    outcomes = quality.outcome_classify(made.withColumn("status", F.when(F.col("listing_id") == 1, 404).when(F.col("listing_id") > 1, 200)))
+    messages = {(r.listing_id, r.code, r.severity) for r in quality.run_messages(outcomes).collect()}
+    assert {(2, "unit_price", "warning"), (1, "gone", "warning")} <= messages
 
 
 def test_crawl_budget(spark):

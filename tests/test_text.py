@@ -121,3 +121,18 @@ def test_fuzzy_jaccard_equals_greedy_by_hand(spark):
         union = sum(t.weight for t in row.ta) + sum(t.weight for t in row.tb) - shared
         assert row.j == pytest.approx(0.0 if union == 0 else shared / union)
         assert 0.0 <= row.j <= 1.0
+
+
+def test_full_trim_and_percent_with_other_white_space(spark):
+    rows = spark.createDataFrame([("\n  Γάλα\u00a0x\t\u3000", "3,5\u00a0%"), ("\u00a0\ufeff", "x"), (None, None), ("a", "1.5 %")], "t string, p string")
+    got = [tuple(r) for r in rows.select(text.full_trim(F.col("t")), text.percent(F.col("p"))).collect()]
+    assert got == [("Γάλα\u00a0x", 3.5), ("", None), (None, None), ("a", 1.5)]
+
+
+def test_patches_refuse_odd_numbers_and_blank_names(spark):
+    from aislegraph.operators import maintenance
+
+    sent = [{"sizeValue": v} for v in ("1d", "NaN", "Infinity", "1e999", "2.5")] + [{"brand": "\t"}, {"title": "\u00a0"}]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(sent)], "i int, sent map<string,string>")
+    got = [r.p for r in rows.orderBy("i").select(maintenance.patch_problem(F.col("sent")).alias("p")).collect()]
+    assert got == ["bad_size"] * 4 + [None, "empty_brand", "empty_title"]

@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from aislegraph.llm.text import ragged, slices, text_buffer
 
 Q = 10
-PASSAGE_CHARS = 100
-EDITS = 6
+PASSAGE_CHARS = 60
+EDITS = 3
 MIN_CHARS = 30
 PART_CHARS = 4_000_000
 FILTER_BITS = 20
@@ -175,13 +175,14 @@ def find_regions(folded: Folded, p: Passages, q: int = Q) -> list[tuple[int, int
     owner, diagonal = p.gram_passage[hit], np.repeat(at, many) - p.gram_place[hit]
     widths = np.maximum(np.array(p.edits), 1)[owner]
     band = diagonal // widths
-    span = len(folded.codes) + PASSAGE_CHARS * 4
-    keys = np.concatenate([owner * span + band + PASSAGE_CHARS, owner * span + band - 1 + PASSAGE_CHARS])
+    pad = max(map(len, p.codes)) + 2  # diagonals begin below 0
+    span = len(folded.codes) + 2 * pad
+    keys = np.concatenate([owner * span + band + pad, owner * span + band - 1 + pad])
     found, counts = np.unique(keys, return_counts=True)
     enough = counts >= p.need[found // span]
     out, seen = [], set()
     for key in found[enough].tolist():
-        owner_, band_ = key // span, key % span - PASSAGE_CHARS
+        owner_, band_ = key // span, key % span - pad
         k, pattern = p.edits[owner_], p.codes[owner_]
         low = band_ * max(k, 1)
         high = low + 2 * max(k, 1) - 1

@@ -1,16 +1,21 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Each document is the set of its distinct five-word shingles. A tree starts with all sets at its
-root; a node picks positions of the sets' minwise signatures at random, 1 / similarity of them on
-average, and each set goes to one child for each of them, named by the token it has there. Two
-sets as similar as the threshold share about one child a level. Children with few sets are
-compared with all pairs in them; larger ones branch again. ``trees`` independent trees are
-grown, so that the chance that a pair at the threshold shares no leaf is negligible.
+root, which branches on one position of the sets' minwise signatures, another for each tree. A
+node below picks positions at random, 1 / similarity of them on average and one at least, and each
+set goes to one child for each of them, named by the token it has there. Children with few sets are
+compared with all pairs in them; larger ones branch again, on ``DRAWS`` positions each. ``trees``
+independent trees are grown.
+
+A pair shares a large node's child unless it differs in all DRAWS positions. Two sets as similar as
+the threshold share 1.5 children a level, more than one, so the chance that they stay together in
+some child goes to 0.89 with depth and no lower. The pair shares no leaf of any of 20 trees with
+probability 4e-9 where leaves are at the second level and below 1e-7 at any depth (by arithmetic).
 
 Groups of near copies do not split under branching. In a large node every set is therefore
 compared with one of them, the leader; sets that are linked to it leave the node unless the
 distances (Jaccard distance is a metric) leave room for a link to a set that is not. What is still
-large after ``LEVELS`` more levels is compared in pairs of blocks of bounded size. Nothing is dropped.
+large after ``LEVELS`` more levels is compared in pairs of blocks of bounded size.
 
 Signatures only pick pairs; every link is confirmed on the full sets. Pairs whose ends are
 already connected need no check: first a spanning forest of each leaf is confirmed, then leaves
@@ -40,7 +45,8 @@ from aislegraph.session import cut_lineage
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 POSITIONS = 128
-TREES = 12
+TREES = 20
+DRAWS = 2
 LEAF_SETS = 2_500
 LEVELS = 3
 LIKELY = 79  # of POSITIONS; a pair at the threshold agrees less often once in 4,000 cases
@@ -98,19 +104,35 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, POSITIONS)
 
 
+def draws(nodes: np.ndarray) -> np.ndarray:
+    """A random number for each node and position."""
+    return mix(nodes[:, None] + _SEEDS[None, :])
+
+
 def chosen(nodes: np.ndarray) -> np.ndarray:
-    """For each node, which positions it branches on: a random 1 / (similarity * POSITIONS) of them."""
-    draw = mix(nodes[:, None] + _SEEDS[None, :])
-    return draw < np.uint64(int((1 << 64) * 100 / (SIMILARITY_PERCENT * POSITIONS)))
+    """For each node, which positions it branches on: a random 1 / (similarity * POSITIONS) of them, one at least."""
+    draw = draws(nodes)
+    return (draw < np.uint64(int((1 << 64) * 100 / (SIMILARITY_PERCENT * POSITIONS)))) | (draw == draw.min(axis=1, keepdims=True))
+
 
+def chosen_large(nodes: np.ndarray) -> np.ndarray:
+    """The same for large nodes: DRAWS positions each, so that no node loses its rows and pairs stay together."""
+    draw = draws(nodes)
+    return draw <= np.partition(draw, DRAWS - 1, axis=1)[:, DRAWS - 1 : DRAWS]
 
-def children(nodes: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def children(nodes: np.ndarray, signatures: np.ndarray, choose=chosen) -> tuple[np.ndarray, np.ndarray]:
     """Rows and child nodes of sets in nodes."""
-    row, position = np.nonzero(chosen(nodes))
+    row, position = np.nonzero(choose(nodes))
     child = mix(mix(nodes[row] + _SEEDS[position]) + signatures[row, position])
     return row, child
 
 
+def root_positions(trees: int) -> np.ndarray:
+    """The position that each tree's root branches on; they differ as long as there are enough."""
+    return np.argsort(mix(_SEEDS))[np.arange(trees) % POSITIONS]
+
+
 def grow_roots(sets: DataFrame, trees: int) -> DataFrame:
     """node, id of the second level of all trees: sets that share one line part here already."""
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
@@ -119,22 +141,21 @@ def grow_roots(sets: DataFrame, trees: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 signatures = _matrix(batch.column(1))
-                for root in roots:
-                    for position in np.flatnonzero(chosen(np.array([root]))[0]):
-                        child = mix(mix(root + _SEEDS[position : position + 1]) + signatures[:, position])
-                        row, child = children(child, signatures)
-                        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row))], ["node", "id"])
+                for root, position in zip(roots, root_positions(trees), strict=True):
+                    child = mix(mix(root + _SEEDS[position : position + 1]) + signatures[:, position])
+                    row, child = children(child, signatures)
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(pa.array(row))], ["node", "id"])
 
     return sets.select("id", "signature").mapInArrow(work, "node long, id long")
 
 
 def grow(rows: DataFrame) -> DataFrame:
-    """The next level below rows (node, id, signature)."""
+    """The next level below rows (node, id, signature) of large nodes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, child = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)))
+                row, child = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)), chosen_large)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(row))], ["node", "id"])
 
     return rows.select("node", "id", "signature").mapInArrow(work, "node long, id long")

@@ -63,6 +63,36 @@ def test_large_groups_take_the_leader_and_block_paths(make_docs, monkeypatch):
     assert got == components_of(texts)
 
 
+def test_large_nodes_keep_recall(make_docs, monkeypatch):
+    """Thousands of unlinked documents of one template, 600 pairs at 0.758 among them."""
+    monkeypatch.setattr(near_copies, "LEAF_SETS", 100)
+    rng = random.Random(11)
+    own = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = own(85), {}
+    for i in range(2400):
+        w = own(35)
+        texts[i] = " ".join(template + w)
+        if i < 600:
+            texts[10_000 + i] = " ".join(template + w[:-16] + own(16))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(texts.items())).collect()}
+    assert got == {i: i % 10_000 for i in texts}
+
+
+def test_pairs_stay_together_five_levels_down(spark):
+    """Signatures of 1,500 pairs at the threshold, in nodes that all branch again."""
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 1 << 16, (1500, 2, 128)).astype(np.uint16)
+    for pair in signatures:
+        same = rng.permutation(128)[:96]
+        pair[1, same] = pair[0, same]
+    sets = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(signatures.reshape(-1, 128))], "id long, signature binary").cache()
+    rows = near_copies.grow_roots(sets, near_copies.TREES)
+    for _ in range(near_copies.LEVELS):
+        rows = near_copies.grow(rows.join(sets, "id"))
+    together = rows.distinct().withColumn("pair", F.expr("id div 2")).groupBy("node", "pair").count().where("count = 2")
+    assert together.select("pair").distinct().count() == 1500
+
+
 def test_repeated_and_null_ids(make_docs):
     rows = near_copies.near_copies(make_docs([(4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (2, 2, True), (4, 2, False), (4, 2, False)]

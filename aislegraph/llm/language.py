@@ -1,14 +1,14 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds one bit per language in every cell; the AND of an n-gram's cells
-returns all languages that contain it. A text's languages are ranked by the popcount of each bit
+A bit-sliced Bloom filter holds one bit per language in every cell, in words of up to 64 languages;
+the AND of an n-gram's cells returns all languages that contain it. A text's languages are ranked by the popcount of each bit
 over its n-grams, corrected for the filter's false positives. An n-gram belongs to a language
 when its rate there is at least ``RATE_FLOOR`` and ``RATE_SHARE`` of its highest rate in any
 language; rates come from counts over all training rows.
 
-Bounds: at most ``MAX_LANGUAGES`` languages (the most common ones), so at most
-MAX_LANGUAGES / RATE_FLOOR n-grams reach the driver, and the filter sent to executors has CELLS
-cells of 1 to 8 bytes.
+Bounds: every language of the training rows is learned, one slice of cells for each ``WORD`` of them.
+At most languages / RATE_FLOOR n-grams reach the driver, and the filter sent to executors has CELLS
+cells of 1 to 8 bytes in each slice; both grow with the number of languages, not with the rows.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; a text none of whose
 n-grams is known has the most common language with score 0; rows with null lang train nothing;
@@ -34,7 +34,7 @@ CELLS = 1 << 21
 PROBES = 3
 RATE_FLOOR = 1e-5
 RATE_SHARE = 0.25
-MAX_LANGUAGES = 64
+WORD = 64
 UNKNOWN = "und"
 
 
@@ -75,17 +75,19 @@ def cells_of(grams: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    languages: list[str]  # sorted; language i has bit i
+    languages: list[str]  # sorted; language i has bit i % WORD of slice i // WORD
     common: str | None
-    cells: np.ndarray
+    cells: list[np.ndarray]
     chance: list[float]  # false-positive rate of each language
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
+    def masks(self, grams: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each slice in turn."""
         first, *rest = cells_of(grams)
-        out = self.cells[first]
-        for c in rest:
-            out &= self.cells[c]
-        return out
+        for cells in self.cells:
+            out = cells[first]
+            for c in rest:
+                out &= cells[c]
+            yield out
 
 
 def train(rows: DataFrame) -> LanguageFilter:
@@ -112,25 +114,29 @@ def train(rows: DataFrame) -> LanguageFilter:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     usable = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND lang IS NOT NULL")
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not common:
-        return LanguageFilter([], None, np.zeros(1, np.uint8), [])
+        return LanguageFilter([], None, [], [])
     languages = sorted(common)
-    counts = usable.where(F.col("lang").isin(languages)).mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    per_gram = counts.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
-    per_gram = cut_lineage(per_gram)
-    totals = per_gram.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]).first()
-    rates = [F.col(f"n{i}") / F.lit(float(totals[i] or 1)) for i in range(len(languages))]
-    top = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    belongs = [(r >= RATE_FLOOR) & (r >= RATE_SHARE * top) for r in rates]
-    mask = sum((F.when(b, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i, b in enumerate(belongs)), F.lit(0).cast("long"))
-    kept = per_gram.select("gram", mask.alias("mask")).where("mask <> 0").toArrow()  # at most languages / RATE_FLOOR rows
-    width = np.dtype(next(f"uint{b}" for b in (8, 16, 32, 64) if b >= len(languages)))
-    cells = np.zeros(CELLS, dtype=width)
-    masks = kept["mask"].to_numpy().astype(np.int64).view(np.uint64).astype(width)
-    for c in cells_of(kept["gram"].to_numpy().astype(np.uint32)):
-        np.bitwise_or.at(cells, c, masks)
-    chance = [float(np.mean((cells >> width.type(i)) & width.type(1))) ** PROBES for i in range(len(languages))]
+    counts = cut_lineage(usable.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rates = counts.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
+    top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("own"))
+    belongs = top.select("gram", F.expr(f"filter(own, x -> x.rate >= {RATE_FLOOR}D AND x.rate >= {RATE_SHARE}D * top)").alias("own"))
+    kept = belongs.select("gram", F.explode("own.lang").alias("lang")).toArrow()  # at most languages / RATE_FLOOR rows
+    grams = kept["gram"].to_numpy().astype(np.uint32)
+    number = np.searchsorted(np.array(languages, dtype=object), np.array(kept["lang"].to_pylist(), dtype=object)) if len(grams) else np.zeros(0, np.int64)
+    cells, chance = [], []
+    for begin in range(0, len(languages), WORD):
+        here = min(WORD, len(languages) - begin)
+        width = np.dtype(next(f"uint{b}" for b in (8, 16, 32, 64) if b >= here))
+        own = np.zeros(CELLS, dtype=width)
+        use = (number >= begin) & (number < begin + here)
+        bits = np.left_shift(np.uint64(1), (number[use] - begin).astype(np.uint64)).astype(width)
+        for c in cells_of(grams[use]):
+            np.bitwise_or.at(own, c, bits)
+        cells.append(own)
+        chance += [float(np.mean((own >> width.type(i)) & width.type(1))) ** PROBES for i in range(here)]
     return LanguageFilter(languages, common[0], cells, chance)
 
 
@@ -138,7 +144,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """All columns of docs with lang_pred and score (0 to 1) added; the text alone decides.
     Columns of docs with these names are replaced."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # CELLS cells at most, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # CELLS cells a slice, whatever the rows
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = kept.columns.index("text")
@@ -156,12 +162,12 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             labels, scores = [UNKNOWN] * n, np.zeros(n)
             if m.languages:
                 grams, before = grams_of(buf, offsets)
-                masks = m.masks(grams)
                 total = np.maximum(np.diff(before), 1)
                 share = np.empty((len(m.languages), n))
-                for k, chance in enumerate(m.chance):
-                    hits = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(k)) & masks.dtype.type(1), dtype=np.int64)])[before]
-                    share[k] = np.clip((np.diff(hits) / total - chance) / max(1e-9, 1 - chance), 0, 1)
+                for word, masks in enumerate(m.masks(grams)):
+                    for k in range(word * WORD, min((word + 1) * WORD, len(m.languages))):
+                        hits = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(k % WORD)) & masks.dtype.type(1), dtype=np.int64)])[before]
+                        share[k] = np.clip((np.diff(hits) / total - m.chance[k]) / max(1e-9, 1 - m.chance[k]), 0, 1)
                 best, added = share.argmax(axis=0), share.sum(axis=0)
                 for i in np.flatnonzero(lettered):
                     labels[i] = m.languages[best[i]] if added[i] > 0 else m.common

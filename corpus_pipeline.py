@@ -19,8 +19,12 @@ from aislegraph.llm.token_files import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or with no n-gram of a known language, go."""
-    judged = predict(docs, train(docs))
+    """Documents without letters, or with no n-gram of a known language, go; when no row has a
+    language to learn from, only those without letters."""
+    model = train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = predict(docs, model)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select(docs.columns)
 
 

@@ -190,6 +190,17 @@ def test_language_held_out_accuracy_and_cases(spark, make_docs, empty):
     assert language.predict(empty.drop("score"), model).count() == 0
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(30)]
+        rows += [(100 * k + i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(40)), f"l{k:02d}") for i in range(3 if k < 64 else 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language.predict(table, language.train(table)).collect()}
+    assert got == {i: (lang, True) for i, _, lang in rows}
+
+
 def test_leaks_with_edits_and_nothing_else(spark, make_docs, empty):
     rng = random.Random(9)
     sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))

@@ -1,17 +1,20 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping passages of ``passage`` characters. A passage of m
+Benchmark items are cut into passages of ``passage`` characters that start every 2 ``edits``
+characters. Any stretch of an item of that length is at most ``edits`` places from a passage, so a
+verbatim one is found wherever it begins. A passage of m
 characters that stands in a text with at most k edits shares at least m + 1 - (k + 1) q of its
 q-grams with it, on diagonals (place in text minus place in item) no more than k apart. Shared
 q-grams are counted in diagonal bands of width 2k that overlap by k, so each such region lies
-whole in some band; bands that reach the bound are verified by banded alignment.
+whole in some band; bands that reach the bound are verified by banded alignment. Items under
+``MIN_CHARS`` characters are found whole and exact, between word edges.
 
 Texts are compared without case, and with each run of characters other than letters and digits
 as one blank. The benchmark is read in parts of about ``PART_CHARS`` characters, so what executors
 hold of it is bounded; each part is one scan of the documents.
 
-Defined cases: null and empty texts and items match nothing; items under ``MIN_CHARS`` characters
-are too short to be evidence; items with equal text are one, under the smallest item_id; repeated
+Defined cases: null and empty texts and items match nothing, and neither do items without
+letters and digits; items with equal text are one, under the smallest item_id; repeated
 rows are judged each; other columns are kept by ``flag_documents`` and ignored by ``find_leaks``.
 """
 
@@ -107,20 +110,27 @@ class Passages:
     gram_passage: np.ndarray
     gram_place: np.ndarray
     present: np.ndarray
+    short: dict[int, dict[bytes, list[int]]]  # passages of short items, by length and codes
 
 
 def cut_passages(items: list[tuple[int, str]], passage: int, edits: int, q: int = Q) -> Passages:
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     grams, owner, place = [], [], []
+    short: dict[int, dict[bytes, list[int]]] = {}
     for item_id, text in items:
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         codes = fold_texts(raw, np.array([0, len(raw)])).codes[:-1]
         codes = codes[1:] if len(codes) and codes[0] == BLANK else codes
+        if not len(codes):
+            continue
         if len(codes) < MIN_CHARS:
+            short.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(len(out[0]))
+            for column, value in zip(out, (item_id, codes, 0, 0, 0), strict=True):
+                column.append(value)
             continue
         size = min(passage, len(codes))
         last = len(codes) - size
-        for begin in sorted({*range(0, last + 1, max(1, passage // 2)), last}):
+        for begin in sorted({*range(0, last + 1, max(1, 2 * edits)), last}):
             own = codes[begin : begin + size]
             k = edits * size // passage
             h = gram_codes(own, q)
@@ -134,7 +144,7 @@ def cut_passages(items: list[tuple[int, str]], passage: int, edits: int, q: int
     present = np.zeros(1 << FILTER_BITS, dtype=bool)
     present[h >> np.uint32(32 - FILTER_BITS)] = True
     empty = np.zeros(0, np.int64)
-    return Passages(out[0], out[1], out[2], np.array(out[3], dtype=np.int64), np.array(out[4], dtype=np.int64), h[order], np.concatenate([empty, *owner])[order], np.concatenate([empty, *place])[order], present)
+    return Passages(out[0], out[1], out[2], np.array(out[3], dtype=np.int64), np.array(out[4], dtype=np.int64), h[order], np.concatenate([empty, *owner])[order], np.concatenate([empty, *place])[order], present, short)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -163,10 +173,27 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int)
     return (int(cost[k]), int(begin[k]), end) if cost[k] <= most and 0 <= begin[k] <= end <= len(text) else None
 
 
+def find_short(folded: Folded, p: Passages) -> list[tuple[int, int, int, int, int]]:
+    """The same as find_regions, of short items."""
+    out = []
+    edge = folded.codes <= BLANK  # no letter or digit is that low
+    first = np.concatenate([[True], edge[:-1]])
+    for size, owners in p.short.items():
+        h = gram_codes(folded.codes, size)[:-1]  # a stop ends the last text
+        if not len(h):
+            continue
+        wanted = gram_codes(np.frombuffer(b"".join(owners), dtype=np.uint32), size)[::size]
+        for at in np.flatnonzero(first[: len(h)] & edge[size:] & np.isin(h, wanted)).tolist():
+            text = int(np.searchsorted(folded.bounds, at, side="right")) - 1
+            out += [(text, owner, at, at + size, 0) for owner in owners.get(folded.codes[at : at + size].tobytes(), ())]
+    return out
+
+
 def find_regions(folded: Folded, p: Passages, q: int = Q) -> list[tuple[int, int, int, int, int]]:
     """(text, passage, start, end, edits) of all verified regions; start and end are places in folded.codes."""
+    out, seen = find_short(folded, p), set()
     if not len(p.grams):
-        return []
+        return out
     h = gram_codes(folded.codes, q)
     at = np.flatnonzero(p.present[h >> np.uint32(32 - FILTER_BITS)])
     left = np.searchsorted(p.grams, h[at], side="left")
@@ -180,7 +207,6 @@ def find_regions(folded: Folded, p: Passages, q: int = Q) -> list[tuple[int, int
     keys = np.concatenate([owner * span + band + pad, owner * span + band - 1 + pad])
     found, counts = np.unique(keys, return_counts=True)
     enough = counts >= p.need[found // span]
-    out, seen = [], set()
     for key in found[enough].tolist():
         owner_, band_ = key // span, key % span - pad
         k, pattern = p.edits[owner_], p.codes[owner_]
@@ -188,7 +214,9 @@ def find_regions(folded: Folded, p: Passages, q: int = Q) -> list[tuple[int, int
         high = low + 2 * max(k, 1) - 1
         text = int(np.searchsorted(folded.bounds, min(max(low + len(pattern) // 2, 0), len(folded.codes) - 1), side="right")) - 1
         a, b = int(folded.bounds[text]), int(folded.bounds[text + 1]) - 1
-        match = align(pattern, folded.codes[a:b], low - a, high - a, k)
+        m = len(pattern)
+        exact = next((d for d in range(max(low, a), min(high, b - m) + 1) if np.array_equal(folded.codes[d : d + m], pattern)), None)
+        match = align(pattern, folded.codes[a:b], low - a, high - a, k) if exact is None else (0, exact - a, exact - a + m)
         if match and (text, owner_, match[1]) not in seen:
             seen.add((text, owner_, match[1]))
             out.append((text, owner_, a + match[1], a + match[2], match[0]))

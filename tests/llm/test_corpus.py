@@ -228,6 +228,24 @@ def test_leaks_with_edits_and_nothing_else(spark, make_docs, empty):
     assert leaks.find_leaks(empty, bench).count() == leaks.find_leaks(make_docs(docs), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_stretches_at_every_offset_and_of_short_items():
+    rng = random.Random(21)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    item = sentence(60)[:117].strip()
+    passages = leaks.cut_passages([(7, item), (8, "Who wrote it?"), (9, "qux"), (10, " ?! ")], leaks.PASSAGE_CHARS, leaks.EDITS)
+
+    def found(texts):
+        raw = [t.encode() for t in texts]
+        folded = leaks.fold_texts(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        return {(text, passages.item[owner]) for text, owner, *_ in leaks.find_regions(folded, passages)}
+
+    for size in (60, 70, 78, 90):
+        own = [item[at : at + size] for at in range(len(item) - size + 1) if " " not in (item[at], item[at + size - 1])]
+        assert found([f"{sentence(9)} zz{x}zz {sentence(9)}" for x in own]) == {(k, 7) for k in range(len(own))}, size
+        assert found(own[1:9]) == {(k, 7) for k in range(8)}, size
+    assert found(["a who, WROTE it b", "awho wrote it", "who wrote itb", "qux", "x quxx xqux", "", "who wrote"]) == {(0, 8), (3, 9)}
+
+
 def test_alignment_is_the_edit_distance():
     rng = random.Random(4)
     for _ in range(60):

@@ -10,7 +10,8 @@ independent trees are grown.
 A pair shares a large node's child unless it differs in all DRAWS positions. Two sets as similar as
 the threshold share 1.5 children a level, more than one, so the chance that they stay together in
 some child goes to 0.89 with depth and no lower. The pair shares no leaf of any of 20 trees with
-probability 4e-9 where leaves are at the second level and below 1e-7 at any depth (by arithmetic).
+probability 4e-9 where leaves are at the second level and below 1e-7 at any depth (by
+arithmetic, for signatures that agree as often as expected); apart from that ``LIKELY`` decides.
 
 Groups of near copies do not split under branching. In a large node every set is therefore
 compared with one of them, the leader; sets that are linked to it leave the node unless the

@@ -106,3 +106,59 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.personal_data import find_personal_data, personal_data_digest
 
     return personal_data_digest(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def clustering_sql(k: int = 8, rounds: int = 10, seed: str = "3", dims: int = 64) -> str:
+    """Plain assignment to every centroid, round by round."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"""c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS c, v AS m FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) <= {k})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, v, b.c AS c, b.d AS d FROM (
+                SELECT kept.vec_id, any_value(kept.v) AS v,
+                       min({{'d': CAST(list_sum(list_transform(range(1, {dims + 1}), i -> (kept.v[i] - c{r}.m[i]) * (kept.v[i] - c{r}.m[i]))) AS BIGINT), 'c': c{r}.c}}) AS b
+                FROM kept CROSS JOIN c{r} GROUP BY kept.vec_id))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+            SELECT c{r}.c, coalesce(moved.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+                SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+                    SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, {dims + 1}) t(i) GROUP BY c, i) GROUP BY c
+            ) moved ON c{r}.c = moved.c)"""
+            )
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, a{rounds}.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
+
+
+@query("op11_threshold_clusters", clustering_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.clustering import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_quality_machine")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.quality import score, train
+
+    docs, labels, metadata = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["n_chars"]
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    judged = score(docs, train(docs, labels.where(~held_out), metadata=metadata), metadata)
+    return judged.select("doc_id", held_out, "score", "predicted")
+
+
+@query("op13_merge_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aislegraph.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))

@@ -112,8 +112,8 @@ def clustering_sql(k: int = 8, rounds: int = 10, seed: str = "3", dims: int = 64
     """Plain assignment to every centroid, round by round."""
     steps = [
         f"""kept AS MATERIALIZED (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-            WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dims})""",
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
         f"""c0 AS MATERIALIZED (
             SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS c, v AS m FROM kept
             QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) <= {k})""",
@@ -123,7 +123,7 @@ def clustering_sql(k: int = 8, rounds: int = 10, seed: str = "3", dims: int = 64
             f"""a{r} AS MATERIALIZED (
             SELECT vec_id, v, b.c AS c, b.d AS d FROM (
                 SELECT kept.vec_id, any_value(kept.v) AS v,
-                       min({{'d': CAST(list_sum(list_transform(range(1, {dims + 1}), i -> (kept.v[i] - c{r}.m[i]) * (kept.v[i] - c{r}.m[i]))) AS BIGINT), 'c': c{r}.c}}) AS b
+                       min({{'d': CAST(list_sum(list_transform(range(1, {dims + 1}), lambda i: (kept.v[i] - c{r}.m[i]) * (kept.v[i] - c{r}.m[i]))) AS BIGINT), 'c': c{r}.c}}) AS b
                 FROM kept CROSS JOIN c{r} GROUP BY kept.vec_id))"""
         )
         if r < rounds:

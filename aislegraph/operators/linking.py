@@ -11,6 +11,7 @@ from aislegraph.model import (
     AUTO_PICK_THRESHOLD, EAN_CAPABLE, EAN_DISCOVERY_THRESHOLD, IDENTITY_CHAINS, MAX_CANDIDATES,
     SIZE_MATCH_BONUS, SIZE_UNVERIFIED_PENALTY, SUGGESTION_THRESHOLD,
 )
+from aislegraph.operators.ordering import rank_in_groups
 from aislegraph.session import reuse
 
 #: A word on at least this share of the rows counts as hot. At most
@@ -305,14 +306,15 @@ def _order(pass_col: str | None = None) -> list[Column]:
 
 
 def rank_within_retailer(scored: DataFrame) -> DataFrame:
-    """Stable rank by score inside (product, retailer); unscored rows last."""
-    best = Window.partitionBy("product_id", "retailer").orderBy(*_order())
-    return scored.withColumn("rank", F.row_number().over(best))
+    """Stable rank by score inside (product, retailer); unscored rows last. A product with very
+    many rows is ranked by many tasks."""
+    return rank_in_groups(scored, ["product_id", "retailer"], _order())
 
 
 def top_candidates(scored: DataFrame, n: int = MAX_CANDIDATES) -> DataFrame:
     """The first ``n`` per (product, retailer); the limit runs before the shuffle."""
-    return rank_within_retailer(scored).filter(F.col("rank") <= n)
+    best = Window.partitionBy("product_id", "retailer").orderBy(*_order())
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
 def merge_best_score(ranked: DataFrame) -> DataFrame:

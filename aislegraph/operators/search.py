@@ -1,4 +1,4 @@
-"""Catalog search: postings, prefix-AND retrieval, BM25 ranking, barcode-first merge.
+"""Catalog search on a stored index: prefix-AND retrieval, BM25 ranking, barcode-first merge.
 
 A query's terms are intersected from its rarest term outwards, so a term that
 half of the catalog contains is only ever probed, never expanded per query.
@@ -9,42 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislegraph.functions import text
 from aislegraph.model import (
     BARCODE_HIT_TTL_DAYS, BARCODE_MISS_TTL_DAYS, SEARCH_CACHE_TTL_HOURS, SEARCH_ROW_CAP,
 )
 from aislegraph.operators.filters import contains_all
-from aislegraph.session import reuse
+from aislegraph.operators.postings import SearchIndex, blocks_of_prefixes, part_of
+from aislegraph.session import cut_lineage, reuse
 
-# Fixed values of the ranking function.
-K1, B, MIN_IDF = 1.2, 0.75, 1e-6
-#: Prefix lengths a vocabulary word is reachable by before the exact check.
-BUCKET = 3
-
-
-def _indexed_words(hay: str) -> Column:
-    return text.words(F.trim(F.regexp_replace(hay, r"[^\p{L}\p{N}]+", " ")))
-
-
-def build_search_index(catalog: DataFrame, hay: str = "haystack") -> DataFrame:
-    """postings(retailer, sku, term, dl, tf) of a folded haystack.
-
-    All words of a document sit in one task, so the count combines before the
-    shuffle to one row per distinct word and document.
-    """
-    listed = catalog.select("retailer", "sku", _indexed_words(hay).alias("words"))
-    return (
-        listed.select("retailer", "sku", F.size("words").alias("dl"), F.explode("words").alias("term"))
-        .groupBy("retailer", "sku", "term", "dl").agg(F.count("*").alias("tf"))
-    )
-
-
-def corpus_stats(catalog: DataFrame, hay: str = "haystack") -> DataFrame:
-    """Documents and mean length per retailer."""
-    words = _indexed_words(hay)
-    return catalog.groupBy("retailer").agg(
-        F.count("*").alias("n_docs"), F.avg(F.size(words)).alias("avgdl")
-    )
+MIN_IDF = 1e-6
 
 
 def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
@@ -55,53 +27,39 @@ def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
     )
 
 
-def expand_prefixes(prefixes: DataFrame, postings: DataFrame) -> DataFrame:
-    """Vocabulary words each prefix reaches: (prefix, term).
+def prefix_postings(terms: DataFrame, index: SearchIndex) -> tuple[DataFrame, DataFrame]:
+    """Once per distinct prefix: its documents (retailer, prefix, block, sku, tf, dl), and its
+    blocks (retailer, prefix, block, peak), both kept for the branches of a search.
 
-    Equi-join on the first one to three characters, then the exact test.
-    """
-    vocabulary = postings.select("term").distinct()
-    buckets = F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.lit(BUCKET)), lambda k: F.left(F.col("term"), k)
-    )))
-    # A word shorter than k sits in the bucket of its own length, so a prefix of
-    # length min(len, 3) finds every word that can start with it.
-    reach = vocabulary.select("term", buckets.alias("bucket"))
-    wanted = prefixes.select("prefix", F.left("prefix", F.lit(BUCKET)).alias("bucket"))
-    return wanted.join(reach, "bucket").filter(F.startswith(F.col("term"), F.col("prefix"))).select(
-        "prefix", "term"
-    )
-
-
-def prefix_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Documents per prefix: (retailer, prefix, sku, tf, dl), once per distinct prefix."""
-    expanded = expand_prefixes(terms.select("prefix").distinct(), postings)
-    return postings.join(expanded, "term").groupBy("retailer", "prefix", "sku").agg(
-        F.sum("tf").alias("tf"), F.first("dl").alias("dl")
-    )
+    A prefix counts the words it reaches as one; parts grow less than tf does, so the sum of its words'
+    peaks in a block is a bound for the block."""
+    found = reuse(blocks_of_prefixes(terms, index))
+    hits = found.select("retailer", "prefix", "block", F.explode("entries").alias("e")).groupBy(
+        "retailer", "prefix", "block", "e.sku"
+    ).agg(F.sum("e.tf").alias("tf"), F.first("e.dl").alias("dl"))
+    return reuse(hits), found.groupBy("retailer", "prefix", "block").agg(F.sum("peak").alias("peak"))
 
 
 #: Rarest terms intersected once per distinct combination before queries fan out.
 SHARED_TERMS = 3
 
 
-def _probe(terms: DataFrame, hits: DataFrame, counts: DataFrame) -> DataFrame:
-    """Term matches of candidate documents.
+def _survivors(terms: DataFrame, hits: DataFrame, counts: DataFrame) -> DataFrame:
+    """Documents that hold a query's rarest terms: (query_id, retailer, n_terms, block, sku).
 
     Terms of a (query, retailer) are ordered from rare to frequent. The first
     few are intersected one by one, once per distinct combination however many
-    queries share it; only documents that survive are probed, per query, with
-    every term. Each step is an equi-join on (prefix, document).
+    queries share it. Each step is an equi-join on (prefix, document).
     """
     ordered = F.array_sort(F.collect_list(F.struct("n", "prefix")))
     drivers = terms.join(counts, "prefix").groupBy("query_id", "retailer", "n_terms").agg(
         ordered.alias("by_n")
     ).filter(F.size("by_n") == F.col("n_terms"))
-    chosen = F.slice(F.col("by_n.prefix"), 1, SHARED_TERMS)
-    listed = drivers.select("query_id", "retailer", "n_terms", chosen.alias("rare"))
-    keys = hits.select("retailer", "prefix", "sku")
+    chosen = F.slice(F.array_distinct(F.col("by_n.prefix")), 1, SHARED_TERMS)
+    listed = reuse(drivers.select("query_id", "retailer", "n_terms", chosen.alias("rare")))
+    keys = hits.select("retailer", "prefix", "block", "sku")
     shared = listed.select("retailer", "rare").distinct()
-    found = None
+    found, full = None, []
     for level in range(SHARED_TERMS):
         # Nodes of this level: every distinct list of the ``level + 1`` rarest terms.
         node = shared.select("retailer", F.slice("rare", 1, level + 1).alias("node")).distinct()
@@ -111,28 +69,25 @@ def _probe(terms: DataFrame, hits: DataFrame, counts: DataFrame) -> DataFrame:
         if found is not None:
             parents = found.withColumnRenamed("node", "parent")
             node = node.withColumn("parent", F.slice("node", 1, level)).join(parents, ["retailer", "parent"])
-            step = node.join(keys, ["retailer", "prefix", "sku"], "left_semi")
+            step = node.join(keys, ["retailer", "prefix", "block", "sku"], "left_semi")
         else:
             step = node.join(keys, ["retailer", "prefix"])
-        found = step.select("retailer", "node", "sku")
-        done = shared.filter(F.size("rare") == level + 1) if level + 1 < SHARED_TERMS else None
-        if done is None:
-            full = found
-        else:
-            part = found.join(done.withColumnRenamed("rare", "node"), ["retailer", "node"], "left_semi")
-            collected = part if level == 0 else collected.unionByName(part)
-    thinned = listed.join(
-        collected.unionByName(full).withColumnRenamed("node", "rare"), ["retailer", "rare"]
-    ).drop("rare")
-    asked = thinned.join(terms.select("query_id", "prefix"), "query_id")
-    return asked.join(hits, ["retailer", "prefix", "sku"])
+        found = step.select("retailer", "node", "block", "sku")
+        done = shared.filter(F.size("rare") == level + 1).withColumnRenamed("rare", "node")
+        full.append(found.join(done, ["retailer", "node"], "left_semi"))
+    rare = full[0]
+    for part in full[1:]:
+        rare = rare.unionByName(part)
+    return listed.join(rare.withColumnRenamed("node", "rare"), ["retailer", "rare"]).drop("rare")
 
 
 def prefix_and_search(terms: DataFrame, hits: DataFrame) -> DataFrame:
     """Documents every term prefix-matches: (query_id, retailer, sku)."""
-    met = _probe(terms, hits, prefix_counts(hits)).groupBy("query_id", "retailer", "sku", "n_terms").agg(
-        F.count("*").alias("met")
-    )
+    thinned = _survivors(terms, hits, prefix_counts(hits))
+    asked = thinned.join(terms.select("query_id", "prefix"), "query_id")
+    met = asked.join(hits, ["retailer", "prefix", "block", "sku"], "left_semi").groupBy(
+        "query_id", "retailer", "sku", "n_terms"
+    ).agg(F.count("*").alias("met"))
     return met.filter(F.col("met") == F.col("n_terms")).drop("met", "n_terms")
 
 
@@ -141,28 +96,67 @@ def prefix_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("retailer", "prefix").agg(F.count("*").alias("n"))
 
 
-def bm25_search(
-    terms: DataFrame, postings: DataFrame, stats: DataFrame, cap: int | None
-) -> DataFrame:
+def _scores(thinned: DataFrame, terms: DataFrame, hits: DataFrame, weights: DataFrame) -> DataFrame:
+    """BM25 of the given documents that hold every term: (query_id, retailer, sku, bm25)."""
+    part = F.col("idf") * part_of(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl"))
+    asked = thinned.join(terms.select("query_id", "prefix"), "query_id")
+    return (
+        asked.join(hits, ["retailer", "prefix", "block", "sku"]).join(weights, ["retailer", "prefix"])
+        .groupBy("query_id", "retailer", "sku", "n_terms")
+        .agg(F.sum(part).alias("bm25"), F.count("*").alias("met"))
+        .filter(F.col("met") == F.col("n_terms")).drop("met", "n_terms")
+    )
+
+
+def bm25_search(terms: DataFrame, index: SearchIndex, cap: int | None) -> DataFrame:
     """Prefix-AND hits ranked by BM25: the best ``cap`` per (query, retailer), which is the
-    search contract's own limit (``SEARCH_ROW_CAP``), or all of them when ``cap`` is None."""
-    hits = reuse(prefix_postings(terms, postings))
+    search contract's own limit (``SEARCH_ROW_CAP``), or all of them when ``cap`` is None.
+
+    With a cap, a (query, retailer) with more survivors than that is scored in two rounds: first the
+    documents of its SEED_BLOCKS blocks with the highest bounds, then those of the blocks whose bound reaches
+    the score that is then at place ``cap``. Other blocks cannot hold a better document and are skipped."""
+    hits, blocks = prefix_postings(terms, index)
     counts = prefix_counts(hits)
     n, total = F.col("n"), F.col("n_docs")
     raw = F.ln((total - n + 0.5) / (n + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(MIN_IDF))
-    weights = counts.join(stats, "retailer").select(
-        "retailer", "prefix", idf.alias("idf"), "avgdl"
+    weights = reuse(counts.join(index.stats, "retailer").select("retailer", "prefix", idf.alias("idf"), "avgdl"))
+    thinned = _survivors(terms, hits, counts)
+    if cap is None:
+        return _scores(thinned, terms, hits, weights)
+    thinned = cut_lineage(thinned)
+    return top_rows(best_scores(thinned, terms, hits, weights, blocks, cap), cap)
+
+
+#: Blocks scored first for a query with more survivors than it may return.
+SEED_BLOCKS = 8
+
+
+def best_scores(
+    thinned: DataFrame, terms: DataFrame, hits: DataFrame, weights: DataFrame, blocks: DataFrame, cap: int
+) -> DataFrame:
+    """Scores of at least the best ``cap`` documents of each (query, retailer)."""
+    pair = ["query_id", "retailer"]
+    crowded = thinned.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") > cap).drop("n")
+    held = thinned.join(crowded, pair, "left_semi").select(*pair, "n_terms", "block").distinct()
+    bounds = (
+        held.join(terms.select("query_id", "prefix"), "query_id").join(blocks, ["retailer", "prefix", "block"])
+        .join(weights, ["retailer", "prefix"]).groupBy(*pair, "n_terms", "block")
+        .agg(F.sum(F.col("idf") * F.col("peak")).alias("bound"), F.count("*").alias("met"))
+        .where(F.col("met") == F.col("n_terms"))  # a term that the whole block lacks
     )
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (
-        _probe(terms, hits, counts).join(weights, ["retailer", "prefix"])
-        .groupBy("query_id", "retailer", "sku", "n_terms")
-        .agg(F.sum(part).alias("bm25"), F.count("*").alias("met"))
-        .filter(F.col("met") == F.col("n_terms")).drop("met", "n_terms")
+    first = F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("bound"), "block"))
+    seeds = reuse(bounds.withColumn("place", first).where(F.col("place") <= SEED_BLOCKS))
+    near = ["query_id", "retailer", "block"]
+    seeded = cut_lineage(_scores(thinned.join(seeds, near, "left_semi"), terms, hits, weights))
+    reached = top_rows(seeded, cap).groupBy(*pair).agg(F.count("*").alias("n"), F.min("bm25").alias("least"))
+    reached = reached.where(F.col("n") == cap).select(*pair, "least")
+    # The margin keeps ties that only the order of summing would decide.
+    others = bounds.join(seeds, near, "left_anti").join(reached, pair, "left").where(
+        F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-8)
     )
-    return scored if cap is None else top_rows(scored, cap)
+    few = thinned.join(crowded, pair, "left_anti").unionByName(thinned.join(others, near, "left_semi"))
+    return seeded.unionByName(_scores(few, terms, hits, weights))
 
 
 def top_rows(scored: DataFrame, cap: int) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from aislegraph.functions import text
 from aislegraph.operators import linking, search
-from aislegraph.session import cut_lineage, reuse
+from aislegraph.operators.postings import write_search_index
+from aislegraph.session import cut_lineage, shared_folder
 
 
 def multi_pass_search(
@@ -26,8 +27,7 @@ def multi_pass_search(
     """
     shown = F.concat_ws(" ", "brand", "title")
     indexed = catalog.withColumn("haystack", text.haystack(shown))
-    postings = reuse(search.build_search_index(indexed))
-    stats = search.corpus_stats(indexed)
+    index = write_search_index(indexed, shared_folder(products.sparkSession, "search-index"))
     targets = products.select(F.col("id").alias("product_id")).crossJoin(
         F.broadcast(retailers.select("retailer"))
     )
@@ -42,7 +42,7 @@ def multi_pass_search(
         terms = search.query_terms(
             texts.withColumn("query_id", F.col("query")), text.query_terms(F.col("query"))
         )
-        hits = search.bm25_search(terms, postings, stats, cap).select(
+        hits = search.bm25_search(terms, index, cap).select(
             F.col("query_id").alias("query"), "retailer", "sku"
         )
         wanted = live.join(open_targets, "product_id").select("product_id", "query", "retailer").join(

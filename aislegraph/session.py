@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +42,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="spark-ckpt-")))
+    folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:

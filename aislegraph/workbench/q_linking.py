@@ -124,15 +124,13 @@ def own_pairs(spark, sf):
     return left.join(right, "product_id")
 
 
-def rounded_ranks(scored):
-    """Rank on scores rounded to nine decimals, as the check does."""
-    return linking.rank_within_retailer(
-        scored.withColumn("score", F.floor(F.col("score") * 1e9 + 0.5) / 1e9)
-    )
+def rounded(scored):
+    """Scores to nine decimals, on which the check ranks too."""
+    return scored.withColumn("score", F.floor(F.col("score") * 1e9 + 0.5) / 1e9)
 
 
-def ranked(spark, sf):
-    return rounded_ranks(linking.rank_results(results(spark, sf), products(spark, sf)))
+def scored_results(spark, sf):
+    return rounded(linking.rank_results(results(spark, sf), products(spark, sf)))
 
 
 @query("brand_gate", with_views("offers products", OWN + " SELECT sku, named FROM scored"))
@@ -212,13 +210,13 @@ def rank_results(spark, sf):
 @query("rank_within_retailer", with_views("offers products", RANKED + """
     SELECT product_id, retailer, sku, rank FROM placed"""))
 def rank_within_retailer(spark, sf):
-    return ranked(spark, sf).select("product_id", "retailer", "sku", F.col("rank").cast("bigint"))
+    return linking.rank_within_retailer(scored_results(spark, sf)).select("product_id", "retailer", "sku", "rank")
 
 
 @query("top5_candidates", with_views("offers products", RANKED + """
     SELECT product_id, retailer, sku, rank FROM placed WHERE rank <= 5"""))
 def top5_candidates(spark, sf):
-    return ranked(spark, sf).filter("rank <= 5").select(
+    return linking.top_candidates(scored_results(spark, sf)).select(
         "product_id", "retailer", "sku", F.col("rank").cast("bigint")
     )
 
@@ -226,18 +224,18 @@ def top5_candidates(spark, sf):
 @query("auto_pick", with_views("offers products", PICKED + """
     SELECT product_id, retailer, picked_sku FROM picks"""))
 def auto_pick(spark, sf):
-    return linking.auto_pick(ranked(spark, sf))
+    return linking.auto_pick(linking.top_candidates(scored_results(spark, sf)))
 
 
 def picked(spark, sf):
-    rows = ranked(spark, sf)
+    rows = linking.top_candidates(scored_results(spark, sf))
     return linking.picked_rows(rows, linking.auto_pick(rows))
 
 
 @query("selected_listings", with_views("offers products", PICKED + """
     SELECT product_id, retailer, sku AS retailer_sku, price_piece FROM picked"""))
 def selected_listings(spark, sf):
-    rows = ranked(spark, sf)
+    rows = linking.top_candidates(scored_results(spark, sf))
     return linking.selected_listings(rows, linking.auto_pick(rows)).select(
         "product_id", "retailer", "retailer_sku", "price_piece"
     )

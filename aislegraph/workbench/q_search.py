@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from aislegraph.functions import numbers, text
 from aislegraph.model import RETAILER_IDS
-from aislegraph.operators import filters, search
+from aislegraph.operators import filters, postings, search
 from aislegraph.workbench import duck
 from aislegraph.workbench.registry import query
-from aislegraph.session import reuse
+from aislegraph.session import shared_folder
 from aislegraph.workbench.tables import load, view, with_views
 
 
@@ -38,6 +38,19 @@ def product_queries(spark, sf):
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark, sf, name, catalog) -> postings.SearchIndex:
+    """The index of a catalog, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        folder = shared_folder(spark, f"index-{name}")
+        postings.write_search_index(catalog(spark, sf), folder)
+        _STORED[key] = folder
+    return postings.open_search_index(spark, _STORED[key])
+
+
 def terms_of(queries):
     return search.query_terms(queries, text.query_terms(F.col("text")))
 
@@ -62,9 +75,9 @@ PASSAGE_TERMS = f"""terms AS (
 @query("build_search_index", f"""WITH {DOCS}
     SELECT retailer, sku, term, tf, dl FROM postings""")
 def build_search_index(spark, sf):
-    return search.build_search_index(documents(spark, sf)).select(
-        "retailer", "sku", "term", "tf",
-        F.col("dl").cast("bigint").alias("dl"),
+    index = stored_index(spark, sf, "documents", documents)
+    return postings.postings(index).select(
+        "retailer", "sku", "term", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl")
     )
 
 
@@ -72,7 +85,7 @@ def build_search_index(spark, sf):
     SELECT retailer, count(*) AS n_docs, floor(avg(len(words)) * 1000000 + 0.5) / 1000000 AS avgdl
     FROM docs GROUP BY retailer""")
 def corpus_stats(spark, sf):
-    stats = search.corpus_stats(documents(spark, sf))
+    stats = stored_index(spark, sf, "documents", documents).stats
     return stats.withColumn("avgdl", numbers.round6(F.col("avgdl")))
 
 
@@ -95,20 +108,16 @@ matched AS (
 
 @query("prefix_and_search", SEARCHED + " SELECT query_id, retailer, sku FROM matched")
 def prefix_and_search(spark, sf):
-    postings = reuse(search.build_search_index(documents(spark, sf)))
     terms = terms_of(passages(spark, sf))
-    hits = search.prefix_postings(terms, postings)
+    hits, _ = search.prefix_postings(terms, stored_index(spark, sf, "documents", documents))
     return search.prefix_and_search(terms, hits).select("query_id", "retailer", "sku")
 
 
 @query("bm25_documents", SEARCHED + """
     SELECT query_id, retailer, sku, floor(bm25 * 1000000 + 0.5) / 1000000 AS bm25 FROM matched""")
 def bm25_documents(spark, sf):
-    catalog = documents(spark, sf)
-    found = search.bm25_search(
-        terms_of(passages(spark, sf)), reuse(search.build_search_index(catalog)),
-        search.corpus_stats(catalog), cap=None,
-    )
+    index = stored_index(spark, sf, "documents", documents)
+    found = search.bm25_search(terms_of(passages(spark, sf)), index, cap=None)
     return found.select("query_id", "retailer", "sku", numbers.round6(F.col("bm25")).alias("bm25"))
 
 
@@ -152,11 +161,8 @@ rare AS (
 
 
 def catalog_hits(spark, sf):
-    catalog = offers_catalog(spark, sf)
-    return search.bm25_search(
-        terms_of(product_queries(spark, sf)), reuse(search.build_search_index(catalog)),
-        search.corpus_stats(catalog), search.SEARCH_ROW_CAP,
-    )
+    index = stored_index(spark, sf, "offers", offers_catalog)
+    return search.bm25_search(terms_of(product_queries(spark, sf)), index, search.SEARCH_ROW_CAP)
 
 
 @query("bm25_search", with_views("offers products", f""", {CATALOG}

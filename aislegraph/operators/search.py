@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from aislegraph.model import (
     BARCODE_HIT_TTL_DAYS, BARCODE_MISS_TTL_DAYS, SEARCH_CACHE_TTL_HOURS, SEARCH_ROW_CAP,
 )
-from aislegraph.operators.filters import contains_all
 from aislegraph.operators.postings import SearchIndex, blocks_of_prefixes, part_of
 from aislegraph.session import cut_lineage, reuse
 
@@ -167,14 +166,6 @@ def top_rows(scored: DataFrame, cap: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cap)
 
 
-def substring_and_search(queries: DataFrame, catalog: DataFrame, terms: Column) -> DataFrame:
-    """Definition of retrieval used for evaluation: (query, row) pairs given, every
-    term a literal substring of the row's haystack."""
-    return queries.join(catalog, "pair_id").withColumn(
-        "retrieved", contains_all(F.col("haystack"), terms)
-    )
-
-
 def priority_union(first: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
     """``first`` rows lead; ``rest`` adds only keys not seen there."""
     return first.withColumn("priority", F.lit(0)).unionByName(

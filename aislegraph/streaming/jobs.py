@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from aislegraph.operators import cache, maintenance
+from aislegraph.operators import cache
+from aislegraph.sources.stores import PriceStore
 
 
 def _file_status(spark: SparkSession, path: str):
@@ -44,15 +45,17 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 
 def stream_price_upsert(captures: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Late or repeated captures of a (listing, day) replace the earlier one."""
+    """Late or repeated captures of a (listing, day) replace the earlier one. A batch writes its own
+    rows only (see ``PriceStore``); ``read_prices`` merges and ``PriceStore.compact`` is a job of its own."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        PriceStore(batch.sparkSession, table).append(batch, batch_id)
+
+    return _start(captures, append, checkpoint, "append")
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if _exists(batch.sparkSession, table):
-            maintenance.write_daily_price(batch, table)
-        else:
-            maintenance.create_daily_price(batch, table)
 
-    return _start(captures, merge, checkpoint, "append")
+def read_prices(spark: SparkSession, table: str) -> DataFrame:
+    return PriceStore(spark, table).read()
 
 
 def _replace_batch(table: str) -> Callable[[DataFrame, int], None]:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from aislegraph.model import RETAILER_IDS, retailer_dim
 from aislegraph.operators import maintenance as m
+from aislegraph.session import shared_folder
+from aislegraph.sources.stores import CatalogStore, PriceStore
 from aislegraph.workbench.registry import query
 from aislegraph.workbench.tables import load, view, with_views
 
@@ -55,27 +57,30 @@ def first_wins_dedupe(spark, sf):
     return m.first_wins(docs, ["content"], ["doc_id"])
 
 
-@query("seed_price", with_views("captures listings", """, old AS (
-    SELECT * FROM captures WHERE l_linenumber <= 3
-    QUALIFY row_number() OVER (PARTITION BY listing_id, scraped_date ORDER BY seq DESC) = 1
-    ), seeds AS (
-    SELECT l.id AS listing_id, DATE '2002-01-01' AS scraped_date, c.seq + 1000000000000 AS seq,
-           c.price_piece, c.price_unit
-    FROM captures c JOIN listings l ON l.product_id = c.product_id AND l.retailer = c.retailer
+# Every capture is history except those of the last day of a listing's product at a retailer, which seed.
+@query("seed_price", with_views("captures listings", """, days AS (
+    SELECT *, scraped_date = max(scraped_date) OVER (PARTITION BY product_id, retailer) AS last_day FROM captures
+    ), rows_ AS (
+    SELECT listing_id, scraped_date, seq, price_piece, price_unit FROM days WHERE NOT last_day
+    UNION ALL
+    SELECT l.id, DATE '2002-01-01', c.seq + 1000000000000, c.price_piece, c.price_unit
+    FROM days c JOIN listings l ON l.product_id = c.product_id AND l.retailer = c.retailer
          AND l.retailer_sku = cast(c.listing_id AS VARCHAR)
-    WHERE c.l_linenumber = 7 AND (c.price_piece IS NOT NULL OR c.price_unit IS NOT NULL)
-    QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY c.seq DESC) = 1)
-    SELECT listing_id, cast(scraped_date AS VARCHAR) AS scraped_date, seq, price_piece, price_unit
-    FROM old UNION ALL
-    SELECT listing_id, cast(scraped_date AS VARCHAR), seq, price_piece, price_unit FROM seeds"""))
+    WHERE c.last_day AND (c.price_piece IS NOT NULL OR c.price_unit IS NOT NULL))
+    SELECT listing_id, cast(scraped_date AS VARCHAR) AS scraped_date, seq, price_piece, price_unit FROM rows_
+    QUALIFY row_number() OVER (PARTITION BY listing_id, scraped_date ORDER BY seq DESC) = 1"""))
 def seed_price(spark, sf):
-    old, _ = split_history(spark, sf)
-    seeds = view(spark, sf, "captures").filter("l_linenumber = 7").select(
-        "product_id", "retailer", F.col("listing_id").cast("string").alias("retailer_sku"),
+    captured = view(spark, sf, "captures")
+    pair = ["product_id", "retailer"]
+    last = captured.groupBy(*pair).agg(F.max("scraped_date").alias("last_day"))
+    dated = captured.join(last, pair)
+    seeds = dated.filter("scraped_date = last_day").select(
+        *pair, F.col("listing_id").cast("string").alias("retailer_sku"),
         F.lit("2002-01-01").cast("date").alias("scraped_date"),
         (F.col("seq") + F.lit(1000000000000)).alias("seq"),
         "price_piece", "price_unit", "unit_label",
     )
+    old = dated.filter("scraped_date < last_day").select(*HISTORY)
     return m.seed_price(view(spark, sf, "listings"), seeds, old).select(
         "listing_id", day(), "seq", "price_piece", "price_unit"
     )
@@ -98,6 +103,28 @@ def catalog_upsert_prune(spark, sf):
     )
 
 
+@query("catalog_store_swap", with_views("catalog_old catalog_new", f"""{SNAPSHOT}
+    SELECT retailer, sku, price_piece FROM snapshot"""))
+def catalog_store_swap(spark, sf):
+    """The same snapshot, as two stored versions and a manifest."""
+    store = CatalogStore(spark, shared_folder(spark, "catalog"))
+    store.replace(view(spark, sf, "catalog_old"))
+    store.replace(view(spark, sf, "catalog_new").join(F.broadcast(accepted(spark)), "retailer", "left_semi"))
+    return store.read().select("retailer", "sku", "price_piece")
+
+
+@query("price_store_merge", with_views("captures", UPSERT))
+def price_store_merge(spark, sf):
+    """All captures as three batches with a compaction between."""
+    store = PriceStore(spark, shared_folder(spark, "prices"))
+    rows = history(spark, sf).drop("l_linenumber")
+    for batch_id in range(3):
+        store.append(rows.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == batch_id), batch_id)
+        if batch_id == 1:
+            store.compact()
+    return store.read().select("listing_id", day(), "seq", "price_piece", "price_unit")
+
+
 @query("catalog_diff", with_views("catalog_old catalog_new", f"""{SNAPSHOT}
     SELECT coalesce(o.retailer, n.retailer) AS retailer,
            CASE WHEN o.sku IS NULL THEN 'inserted' WHEN n.sku IS NULL THEN 'pruned'

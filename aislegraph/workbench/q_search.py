@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from aislegraph.functions import numbers, text
 from aislegraph.model import RETAILER_IDS
-from aislegraph.operators import filters, postings, search
+from aislegraph.operators import filters, postings, search, substrings
 from aislegraph.workbench import duck
 from aislegraph.workbench.registry import query
 from aislegraph.session import shared_folder
@@ -195,30 +195,30 @@ def barcode_contains(spark, sf):
     )
 
 
-@query("like_and_filter", """
-    SELECT doc_id FROM documents WHERE contains(text, 'the') AND contains(text, '%')
-           AND contains(text, '.')""")
+# Up to three short words of every benchmark item, as typed into a search box.
+@query("like_and_filter", """WITH asked AS (
+    SELECT item_id, list_slice(regexp_extract_all(text, '(?:^|[ \\n])([A-Za-z]{2,5})', 1), 1, 3) AS terms FROM benchmark
+    ) SELECT item_id, doc_id FROM asked JOIN documents
+    ON len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(text, t))) = 0""")
 def like_and_filter(spark, sf):
-    terms = F.array(F.lit("the"), F.lit("%"), F.lit("."))
-    return load(spark, sf, "documents").filter(filters.contains_all(F.col("text"), terms)).select("doc_id")
-
-
-@query("substring_and_search", with_views("offers products", f"""
-    SELECT o.sku, o.product_id,
-           len(list_filter({_stems("p.title")}, lambda t: NOT contains(
-               {duck.fold(duck.norm("coalesce(o.brand || ' ', '') || o.title"))}, t))) = 0 AS retrieved
-    FROM offers o JOIN products p ON p.id = o.product_id"""))
+    typed = F.slice(F.regexp_extract_all("text", F.lit(r"(?:^|[ \n])([A-Za-z]{2,5})"), F.lit(1)), 1, 3)
+    asked = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), typed.alias("terms"))
+    found = substrings.substring_and_search(asked, F.col("terms"), load(spark, sf, "documents"), "text", ["doc_id"])
+    return found.select(F.col("query_id").alias("item_id"), "doc_id")
+
+
+# Every product's title against every catalog row; the check looks at distinct texts only.
+@query("substring_and_search", with_views("offers products", f""", hays AS (
+    SELECT retailer, sku, {duck.fold(duck.norm("coalesce(brand || ' ', '') || title"))} AS hay FROM offers
+    ), asked AS (SELECT id, list_distinct({_stems("title")}) AS terms FROM products
+    ), met AS (
+    SELECT terms, hay FROM (SELECT DISTINCT list_sort(terms) AS terms FROM asked) t JOIN (SELECT DISTINCT hay FROM hays) h
+    ON len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(hay, t))) = 0)
+    SELECT id AS product_id, retailer, sku FROM asked JOIN met ON met.terms = list_sort(asked.terms) JOIN hays USING (hay)"""))
 def substring_and_search(spark, sf):
-    shown = F.concat_ws(" ", "brand", "title")
-    catalog = view(spark, sf, "offers").select(
-        F.col("product_id").alias("pair_id"), "sku", text.haystack(shown).alias("haystack")
-    )
-    queries = view(spark, sf, "products").select(
-        F.col("id").alias("pair_id"), text.query_terms(F.col("title")).alias("terms")
-    )
-    return search.substring_and_search(queries, catalog, F.col("terms")).select(
-        "sku", F.col("pair_id").alias("product_id"), "retrieved"
-    )
+    asked = view(spark, sf, "products").select(F.col("id").alias("query_id"), text.query_terms(F.col("title")).alias("terms"))
+    found = substrings.substring_and_search(asked, F.col("terms"), offers_catalog(spark, sf), "haystack", ["retailer", "sku"])
+    return found.select(F.col("query_id").alias("product_id"), "retailer", "sku")
 
 
 @query("unique_hit_ean_stamp", with_views("offers products", """, found AS (

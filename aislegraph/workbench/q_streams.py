@@ -33,7 +33,7 @@ def stream_price_upsert(spark, sf):
     rows = captures(spark, sf).select(
         "listing_id", "scraped_date", "seq", "price_piece", "price_unit", "unit_label")
     jobs.stream_price_upsert(rows, f"{folder}/history", f"{folder}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{folder}/history").select(
+    return jobs.read_prices(spark, f"{folder}/history").select(
         "listing_id", F.date_format("scraped_date", "yyyy-MM-dd").alias("scraped_date"), "seq", "price_piece")
 
 

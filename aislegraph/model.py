@@ -81,6 +81,9 @@ SEARCH_CACHE_TTL_HOURS = 6
 BARCODE_HIT_TTL_DAYS = 90
 BARCODE_MISS_TTL_DAYS = 14
 FAILED_PAGE_BUDGET = {"ab": 12, "sklavenitis": 20}
+#: Chains whose first catalog page announces how many there are, and its number.
+FIRST_PAGE = {"ab": 0}
+MAX_PAGES = 1000
 EAN_REGEX = r"^\d{8,14}$"
 
 

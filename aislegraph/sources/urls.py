@@ -75,8 +75,8 @@ def is_leaf_category(url: Column, depth: int = 3) -> Column:
     return host_of(url).isNotNull() & (F.size(segments) >= depth)
 
 
-def leaf_category_urls(index: DataFrame, children: DataFrame) -> DataFrame:
-    """Leaf addresses of a two-level sitemap: ``index(xml)``, ``children(url, xml)``."""
+def leaf_category_urls(index: DataFrame, children: DataFrame, depth: int = 3) -> DataFrame:
+    """Leaf addresses (``depth`` segments at least) of a two-level sitemap: ``index(xml)``, ``children(url, xml)``."""
     named = index.select(F.explode(locs(F.col("xml"))).alias("url")).distinct()
     listed = children.join(named, "url", "left_semi").select(F.explode(locs(F.col("xml"))).alias("url"))
-    return listed.filter(is_leaf_category(F.col("url")))
+    return listed.filter(is_leaf_category(F.col("url"), depth))

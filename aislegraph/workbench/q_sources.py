@@ -4,7 +4,7 @@ each chain's own shape, and read back; pages and addresses also run as given."""
 from pyspark.sql import functions as F
 
 from aislegraph.functions import text
-from aislegraph.operators import linking
+from aislegraph.operators import linking, search
 from aislegraph.sources import pages, payloads, urls
 from aislegraph.workbench.registry import query
 from aislegraph.workbench.tables import load, view, with_views
@@ -21,11 +21,22 @@ def comma(col):
     return F.translate(F.format_string("%.2f", col), ".", ",")
 
 
+#: Offers on a captured page, on average.
+PAGE_ROWS = 40
+
+
+def paged(rows):
+    """Offers dealt by their sku over as many pages as the whole table needs, so that no product, however
+    many offers it has, fills a page."""
+    pages_needed = rows.agg(F.ceil(F.greatest(F.count("*"), F.lit(1)) / PAGE_ROWS).alias("pages_needed"))
+    return rows.crossJoin(F.broadcast(pages_needed)).withColumn("page", F.pmod(F.xxhash64("sku"), F.col("pages_needed")))
+
+
 def bundle(rows, item, wrap):
-    """One payload per product and quarter of its offers."""
-    packed = rows.select("product_id", (F.col("n") % 4).alias("part"), item.alias("item"))
-    return packed.groupBy("product_id", "part").agg(F.collect_list("item").alias("items")).select(
-        F.concat_ws("/", F.lit("capture"), "product_id", "part").alias("url"),
+    """One payload per page of offers."""
+    packed = paged(rows).select("page", item.alias("item"))
+    return packed.groupBy("page").agg(F.collect_list("item").alias("items")).select(
+        F.concat_ws("/", F.lit("capture"), "page").alias("url"),
         F.to_json(wrap(F.col("items"))).alias("payload"),
     )
 
@@ -117,16 +128,32 @@ def primary_image(spark, sf):
     return payloads.flatten_catalog_ab(ab_payloads(spark, sf)).select("sku", "image_url")
 
 
-@query("rejected_payloads", """
-    SELECT cast(event_id AS VARCHAR) AS url, CASE WHEN event_type = 'error' THEN 'failed ' || user_id
-           ELSE 'unexpected response shape: data.productSearch.products missing' END AS reason FROM events""")
+# Bodies of the wrong shape at every chain; every third tells an error, lidl's redirects are none.
+@query("rejected_payloads", """WITH bodies AS (
+    SELECT cast(event_id AS VARCHAR) AS url, user_id, event_type,
+           ['ab', 'galaxias', 'kritikos', 'lidl', 'masoutis'][event_id % 5 + 1] AS retailer FROM events)
+    SELECT url, retailer, CASE WHEN event_type = 'error' AND retailer IN ('ab', 'galaxias') THEN 'failed ' || user_id
+           ELSE 'no_item_list' END AS reason FROM bodies WHERE retailer <> 'lidl' OR event_type <> 'view'""")
 def rejected_payloads(spark, sf):
     message = F.array(F.struct(F.concat(F.lit("failed "), F.col("user_id")).alias("message")))
-    body = F.when(F.col("event_type") == "error", F.to_json(F.struct(message.alias("errors"))))
+    body = F.when(F.col("event_type") == "error", F.to_json(F.struct(message.alias("errors")))).when(
+        F.col("event_type") == "view", F.lit('{"type":"redirect"}'))
     rows = load(spark, sf, "events").select(
-        F.col("event_id").cast("string").alias("url"), F.coalesce(body, F.col("props")).alias("payload")
+        "event_id", F.col("event_id").cast("string").alias("url"), F.coalesce(body, F.col("props")).alias("payload")
     )
-    return payloads.rejected_ab(rows)
+    chains = ["ab", "galaxias", "kritikos", "lidl", "masoutis"]
+    parts = [payloads.rejected(rows.filter(F.col("event_id") % 5 == i), chain) for i, chain in enumerate(chains)]
+    return search.merge_chain_results(*parts)
+
+
+@query("announced_pages", """
+    SELECT cast(event_id AS VARCHAR) AS url, CASE WHEN event_type = 'click' THEN user_id % 7 + 1 ELSE 1 END AS announced
+    FROM events""")
+def announced_pages(spark, sf):
+    total = F.when(F.col("event_type") == "click", (F.col("user_id") % 7 + 1).cast("string")).when(F.col("event_type") == "view", '"5"').otherwise("-3")
+    body = F.concat(F.lit('{"data":{"productSearch":{"pagination":{"totalPages":'), total, F.lit("}}}}"))
+    rows = load(spark, sf, "events").select(F.col("event_id").cast("string").alias("url"), body.alias("payload"))
+    return payloads.announced_pages(rows).select("url", F.col("announced").cast("bigint"))
 
 
 def galaxias_item():
@@ -265,11 +292,10 @@ def item_detail_masoutis(spark, sf):
 
 
 def html_pages(rows, fragment):
-    """One page per product and quarter holding its fragments in sku order."""
-    packed = rows.select("product_id", (F.col("n") % 4).alias("part"), F.struct("n", fragment.alias("h")).alias("f"))
-    made = packed.groupBy("product_id", "part").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    return made.select(F.concat_ws("/", "product_id", "part").alias("url"),
-                       F.array_join(F.col("fs.h"), "\n").alias("html"))
+    """One page of fragments in sku order per page of offers."""
+    packed = paged(rows).select("page", F.struct("n", fragment.alias("h")).alias("f"))
+    made = packed.groupBy("page").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    return made.select(F.col("page").cast("string").alias("url"), F.array_join(F.col("fs.h"), "\n").alias("html"))
 
 
 def escaped(col):
@@ -441,9 +467,7 @@ def leaf_category_urls(spark, sf):
         F.lit("</loc></urlset>")).alias("xml"))
     index = given.filter("page_id % 3 <> 0").select(
         F.concat(F.lit("<index><loc>"), named, F.lit("</loc></index>")).alias("xml"))
-    named_once = index.select(F.explode(urls.locs(F.col("xml"))).alias("url")).distinct()
-    listed = child.join(named_once, "url", "left_semi").select(F.explode(urls.locs(F.col("xml"))).alias("url"))
-    return listed.filter(urls.is_leaf_category(F.col("url"), depth=2)).select(
+    return urls.leaf_category_urls(index, child, depth=2).select(
         F.replace("url", F.lit("%26"), F.lit("&")).alias("url"))
 
 
@@ -501,7 +525,7 @@ def url_requests(spark, sf):
     links = view(spark, sf, "captures").join(
         view(spark, sf, "listings").select(F.col("id").alias("listing_id"), "url"), "listing_id")
     return links.select("seq", (F.col("product_id") + F.col("seq") % 2).alias("product_id"), "url",
-                        "listing_id").filter("seq % 10 >= 5")
+                        "listing_id")
 
 
 def known_catalog(spark, sf):
@@ -513,7 +537,7 @@ def known_catalog(spark, sf):
 
 RESOLVED = """, requests AS (
     SELECT c.seq, c.product_id + c.seq % 2 AS product_id, l.url, l.retailer, l.retailer_sku, l.id
-    FROM captures c JOIN listings l ON l.id = c.listing_id WHERE c.seq % 10 >= 5
+    FROM captures c JOIN listings l ON l.id = c.listing_id
 ), resolved AS (
     SELECT *, CASE WHEN retailer NOT IN ('ab', 'kritikos') THEN 'page has to be captured'
                    WHEN id % 4 = 0 THEN 'product not in the catalog index' END AS reason FROM requests

@@ -126,8 +126,8 @@ def test_promo_prices(spark):
     made = payloads.flatten_catalog_galaxias(spark.createDataFrame(rows, "url string, payload string"))
     assert [r.price_piece for r in made.orderBy(F.desc("price_unit")).collect()] == [4.0, 3.35, 0.0]
     assert made.filter("price_piece = 3.35").first().price_unit == 9.57
-    lost = payloads.rejected(spark.createDataFrame(rows, "url string, payload string"), "$.data.products.items", "shape")
-    assert dict((r.url, r.reason) for r in lost.collect()) == {"d": "boom", "e": "shape"}
+    lost = payloads.rejected(spark.createDataFrame(rows, "url string, payload string"), "galaxias")
+    assert dict((r.url, r.reason) for r in lost.collect()) == {"d": "boom", "e": "no_item_list"}
 
 
 def test_values_of_another_type_are_not_read(spark):
@@ -165,11 +165,24 @@ def test_unit_price_check(spark):
 
 
 def test_crawl_budget(spark):
-    rows = [("ab", "r1", i, i != 3, 50) for i in range(5)] + [("ab", "r2", i, i != 0, 50) for i in range(5)] + [
-        ("ab", "r3", i, i == 0, 50) for i in range(14)]
-    frame = spark.createDataFrame(rows, "retailer string, run_id string, page_no int, ok boolean, rows int")
-    got = {r.run_id: r.accepted for r in quality.crawl_completeness(frame).collect()}
-    assert got == {"r1": True, "r2": False, "r3": False}
+    rows = [("ab", "r1", i, i != 3, 5) for i in range(5)] + [("ab", "r2", i, i != 0, 5) for i in range(5)] + [
+        ("ab", "r3", i, i == 0, 14) for i in range(14)] + [("ab", "r4", 0, True, 40)] + [("ab", "r5", 0, True, 13)] + [
+        ("ab", "r6", 0, True, None), ("ab", "r7", 0, False, 1), ("ab", "r7", 0, True, 1), ("lidl", "r8", 7, True, None), ("lidl", "r9", 7, False, None)]
+    frame = spark.createDataFrame(rows, "retailer string, run_id string, page_no int, ok boolean, announced int")
+    got = {r.run_id: (r.pages, r.failed, r.accepted) for r in quality.crawl_completeness(frame).collect()}
+    assert got == {
+        "r1": (5, 1, True), "r2": (1, 1, False), "r3": (14, 13, False), "r4": (40, 39, False), "r5": (13, 12, True),
+        "r6": (1, 0, True), "r7": (1, 0, True), "r8": (1, 0, True), "r9": (1, 1, False),
+    }
+
+
+def test_rejected_bodies(spark):
+    bodies = [("list", "[]"), ("object", "{}"), ("typed", '{"type":"empty"}'), ("items", '{"items":[]}'), ("odd", '{"items":{"a":1}}'), ("text", '"x"'), ("broken", "{"), ("none", None), ("silent", '{"errors":[{}]}')]
+    frame = spark.createDataFrame(bodies, "url string, payload string")
+    lost = lambda chain: {r.url: r.reason for r in payloads.rejected(frame, chain).collect()}
+    assert set(lost("lidl")) == {"list", "object", "odd", "text", "broken", "none", "silent"}
+    assert set(lost("masoutis")) == {u for u, _ in bodies} - {"list"}
+    assert lost("galaxias")["silent"] == "errors_reported" and lost("kritikos")["silent"] == "no_item_list"
 
 
 def test_routes(spark):

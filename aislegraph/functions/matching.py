@@ -168,8 +168,8 @@ def total_weight(toks: Column) -> Column:
     return F.aggregate(toks, F.lit(0.0), lambda acc, t: acc + t["weight"])
 
 
-def fuzzy_jaccard(a: Column, b: Column) -> Column:
-    """Weighted token-set similarity with greedy one-to-one matching in order."""
+def token_overlap(a: Column, b: Column) -> Column:
+    """struct(shared, union) of two weighted token sets, matched greedily one to one in order."""
     numbered = F.transform(b, lambda t, i: F.struct(
         i.alias("i"), t["stem"].alias("stem"), t["weight"].alias("weight"),
         t["fuzzy"].alias("fuzzy"), t["syn"].alias("syn"),
@@ -186,8 +186,13 @@ def fuzzy_jaccard(a: Column, b: Column) -> Column:
         ))
 
     shared = F.aggregate(a, start, step, lambda acc: acc["shared"])
-    union = total_weight(a) + total_weight(b)
-    return text.bind(shared, lambda s: F.when(union - s == 0, F.lit(0.0)).otherwise(s / (union - s)))
+    every = total_weight(a) + total_weight(b)
+    return text.bind(shared, lambda s: F.struct(s.alias("shared"), (every - s).alias("union")))
+
+
+def fuzzy_jaccard(a: Column, b: Column) -> Column:
+    """Weighted token-set similarity with greedy one-to-one matching in order."""
+    return text.bind(token_overlap(a, b), lambda o: F.when(o["union"] == 0, F.lit(0.0)).otherwise(o["shared"] / o["union"]))
 
 
 def brand_named(keys: Column, gate: Column) -> Column:

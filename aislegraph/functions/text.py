@@ -6,30 +6,35 @@ feature table is one projection over its input and needs no shuffle.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accent_table() -> tuple[str, str]:
-    """Precomposed Latin, Greek and Cyrillic letters and their base letters,
-    derived from canonical decomposition."""
+def _every_char() -> str:
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+
+
+def _accent_table() -> tuple[str, str, str]:
+    """Letters and what canonical decomposition leaves of them without diacritics, where that is one
+    character, and all diacritics; over all of Unicode. Hangul stays composed on both sides of a comparison."""
+    every = _every_char()
+    marks = regex.findall(r"\p{Diacritic}", every)
+    dropped = dict.fromkeys(map(ord, marks))
     source, target = [], []
-    for start, stop in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)):
-        for code in range(start, stop):
-            char = chr(code)
-            parts = unicodedata.normalize("NFD", char)
-            base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
+    for char in every:
+        if unicodedata.decomposition(char)[:1] not in ("", "<"):
+            base = unicodedata.normalize("NFD", char).translate(dropped)
             if base != char and len(base) == 1:
                 source.append(char)
                 target.append(base)
-    return "".join(source), "".join(target)
+    return "".join(source), "".join(target), "".join(m for m in marks if m not in set(source))
 
 
-ACCENTED, UNACCENTED = _accent_table()
-# Spacing characters that count as diacritics, and the combining block.
-DELETED_MARKS = "^`´¨·¯¸" + "".join(chr(c) for c in range(0x300, 0x370))
+ACCENTED, UNACCENTED, DELETED_MARKS = _accent_table()
 #: White space outside the ASCII class of Java's ``\s``.
 WIDE_SPACES = "\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
     chr(c) for c in range(0x2000, 0x200B)

@@ -258,6 +258,8 @@ def rank_results(results: DataFrame, products: DataFrame) -> DataFrame:
     ``results(product_id, retailer, sku, title, brand, ean, ...)``. Equal barcodes
     score 1 outright. A result with a brand field must name the product's brand,
     one without only loses score. Gated rows stay, with a null score.
+
+    A title is compared once with each product it was retrieved for, however many rows show it.
     """
     target = matching.pack(
         matching.title_features(
@@ -268,15 +270,11 @@ def rank_results(results: DataFrame, products: DataFrame) -> DataFrame:
         ),
         "fb", ["product_id", "_product_ean"],
     )
-    shown = matching.pack(
-        matching.title_features(results, F.concat_ws(" ", "brand", "title")), "fa", results.columns
-    )
-    joined = shown.join(target, "product_id")
-    if "query_ean" in results.columns:
-        joined = joined.withColumn("_product_ean", F.coalesce("query_ean", "_product_ean"))
+    titles = results.select("product_id", F.struct("title", "brand").alias("shown")).distinct()
+    pairs = titles.join(target, "product_id").select("*", "shown.title", "shown.brand")
     x, y = F.col("fa"), F.col("fb")
-    exact = F.coalesce(
-        (F.length("_product_ean") > 0) & (F.col("ean") == F.col("_product_ean")), F.lit(False)
+    compared = matching.pack(
+        matching.title_features(pairs, F.concat_ws(" ", "brand", "title")), "fa", pairs.columns
     )
     named = matching.brand_named(x["keys"], y["gate"])
     passes = (
@@ -287,19 +285,33 @@ def rank_results(results: DataFrame, products: DataFrame) -> DataFrame:
     )
     both = x["size"].isNotNull() & y["size"].isNotNull()
     one = x["size"].isNotNull() != y["size"].isNotNull()
-    joined = joined.withColumns({
-        "_exact": exact, "_passes": passes, "_both": both, "_one": one, "_missed": ~named,
-    })
+    compared = compared.withColumns({"_passes": passes, "_both": both, "_one": one, "_missed": ~named})
     fuzzy = matching.adjust_score(
         matching.fuzzy_jaccard(x["toks"], y["toks"]), F.col("_both"), F.col("_one"), F.col("_missed")
     )
-    score = F.when(F.col("_exact"), F.lit(1.0)).when(F.col("_passes"), fuzzy)
+    scored = compared.select(
+        "product_id", "shown", "_product_ean", "_passes", "_one", F.when(F.col("_passes"), fuzzy).alias("_fuzzy")
+    )
+    joined = results.withColumn("shown", F.struct("title", "brand")).join(scored, ["product_id", "shown"])
+    if "query_ean" in results.columns:
+        joined = joined.withColumn("_product_ean", F.coalesce("query_ean", "_product_ean"))
+    exact = F.coalesce(
+        (F.length("_product_ean") > 0) & (F.col("ean") == F.col("_product_ean")), F.lit(False)
+    )
+    joined = joined.withColumn("_exact", exact)
+    score = F.when(F.col("_exact"), F.lit(1.0)).otherwise(F.col("_fuzzy"))
     unverified = F.col("_one") & ~F.col("_exact") & F.col("_passes")
     return joined.select(
         *results.columns, score.alias("score"), unverified.alias("size_unverified")
     )
 
 
+def ean_equi_join(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """product_id beside every row that carries a product's barcode; an empty or null barcode joins nothing."""
+    codes = products.filter(F.length("ean") > 0).select(F.col("id").alias("product_id"), F.col("ean"))
+    return rows.join(codes, "ean")
+
+
 def _order(pass_col: str | None = None) -> list[Column]:
     keys = [F.coalesce("score", F.lit(-1.0)).desc()]
     return keys + ([F.col(pass_col)] if pass_col else []) + [F.col("pos")]

@@ -173,11 +173,20 @@ def priority_union(first: DataFrame, rest: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def merge_chain_results(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+def merge_chain_results(*responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results and errors of searches at different chains as one answer to each query.
+
+    A response has query_id, retailer, pos and sku, and further columns of its own, or a message in
+    ``error``. Of a sku that a chain shows more than once the first place counts; a message is told once a query, whichever
+    chains sent it; a chain that failed keeps the rows it sent before."""
+    every = responses[0]
+    for part in responses[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    key = ["query_id", "retailer", "sku"]
+    rest = [c for c in every.columns if c not in (*key, "pos", "error")]
+    first = F.min(F.struct("pos", *rest)).alias("r")
+    results = every.filter("sku IS NOT NULL").groupBy(*key).agg(first).select(*key, "r.*")
+    return results, every.filter("error IS NOT NULL").select("query_id", "error").distinct()
 
 
 def ean_first_search(queries: DataFrame, catalog: DataFrame, text_hits: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -59,6 +60,13 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints of frames that nothing refers to any more go now, not when the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def reuse(frame: DataFrame) -> DataFrame:
     """Keep a frame that several branches of one job read (recomputable on loss)."""
     return frame.persist(StorageLevel.MEMORY_AND_DISK)

@@ -176,13 +176,11 @@ def weighted_fuzzy_jaccard(spark, sf):
     SELECT sku, floor(both_weight * 1000000 + 0.5) / 1000000 AS shared_weight,
            floor((all_weight - both_weight) * 1000000 + 0.5) / 1000000 AS union_weight FROM scored"""))
 def token_set_ops(spark, sf):
-    jaccard = matching.fuzzy_jaccard(F.col("fa.toks"), F.col("fb.toks"))
-    every = matching.total_weight(F.col("fa.toks")) + matching.total_weight(F.col("fb.toks"))
-    pairs = own_pairs(spark, sf).select("sku", jaccard.alias("j"), every.alias("w"))
-    shared = F.col("w") * F.col("j") / (1 + F.col("j"))
+    overlap = matching.token_overlap(F.col("fa.toks"), F.col("fb.toks"))
+    pairs = own_pairs(spark, sf).select("sku", overlap.alias("o"))
     return pairs.select(
-        "sku", numbers.round6(shared).alias("shared_weight"),
-        numbers.round6(F.col("w") - shared).alias("union_weight"),
+        "sku", numbers.round6(F.col("o.shared")).alias("shared_weight"),
+        numbers.round6(F.col("o.union")).alias("union_weight"),
     )
 
 
@@ -290,19 +288,18 @@ def merge_best_score(spark, sf):
 @query("ean_equi_join", with_views("offers products", """
     SELECT p.id AS product_id, o.retailer, o.sku FROM offers o JOIN products p ON p.ean = o.ean"""))
 def ean_equi_join(spark, sf):
-    codes = products(spark, sf).select(F.col("id").alias("product_id"), "ean")
-    return view(spark, sf, "offers").select("retailer", "sku", "ean").join(codes, "ean").drop("ean")
+    rows = view(spark, sf, "offers").select("retailer", "sku", "ean")
+    return linking.ean_equi_join(rows, products(spark, sf)).drop("ean")
 
 
-@query("tracked_set_dedupe", with_views("offers products", """
-    SELECT retailer, sku, 0 AS priority FROM offers WHERE ean IS NOT NULL UNION ALL
-    SELECT retailer, sku, 1 FROM offers WHERE ean IS NULL"""))
+@query("tracked_set_dedupe", with_views("offers listings", """
+    SELECT retailer, retailer_sku AS sku, 0 AS priority FROM listings WHERE id % 3 = 0 UNION ALL
+    SELECT retailer, sku, 1 FROM offers o ANTI JOIN (SELECT * FROM listings WHERE id % 3 = 0) l
+    ON l.retailer = o.retailer AND l.retailer_sku = o.sku"""))
 def tracked_set_dedupe(spark, sf):
-    offers = view(spark, sf, "offers")
-    return search.priority_union(
-        offers.filter("ean IS NOT NULL").select("retailer", "sku"), offers.select("retailer", "sku"),
-        ["retailer", "sku"],
-    )
+    """Listings that are tracked already lead; what was found adds the others."""
+    followed = view(spark, sf, "listings").filter("id % 3 = 0").select("retailer", F.col("retailer_sku").alias("sku"))
+    return search.priority_union(followed, view(spark, sf, "offers").select("retailer", "sku"), ["retailer", "sku"])
 
 
 @query("untracked_retailers", with_views("products listings", """

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from aislegraph.functions import numbers, text
-from aislegraph.model import RETAILER_IDS
 from aislegraph.operators import filters, postings, search, substrings
 from aislegraph.workbench import duck
 from aislegraph.workbench.registry import query
@@ -249,14 +248,26 @@ def priority_union(spark, sf):
     )
 
 
-@query("merge_chain_results", with_views("offers", """
-    SELECT retailer, count(*) AS results, count(ean) AS with_ean FROM offers GROUP BY retailer"""))
+# Catalog chains answer from their offers, the others from their listings; some captures stand for failed calls.
+@query("merge_chain_results", with_views("offers listings captures", """, responses AS (
+    SELECT product_id AS query_id, retailer, cast(sku AS BIGINT) AS pos, sku, CAST(NULL AS VARCHAR) AS error FROM offers
+    WHERE retailer IN ('ab', 'kritikos', 'galaxias') UNION ALL
+    SELECT product_id, retailer, id % 10, retailer_sku, NULL FROM listings
+    WHERE retailer NOT IN ('ab', 'kritikos', 'galaxias') UNION ALL
+    SELECT product_id, retailer, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'no answer from ' || retailer FROM captures WHERE seq % 10 = 7)
+    SELECT query_id, retailer, sku, min(pos) AS pos, NULL AS error FROM responses WHERE sku IS NOT NULL
+    GROUP BY ALL UNION ALL
+    SELECT DISTINCT query_id, NULL, NULL, NULL, error FROM responses WHERE error IS NOT NULL"""))
 def merge_chain_results(spark, sf):
-    offers = view(spark, sf, "offers")
-    parts = [offers.filter(F.col("retailer") == r).select("retailer", "sku", "ean") for r in RETAILER_IDS]
-    return search.merge_chain_results(*parts).groupBy("retailer").agg(
-        F.count("*").alias("results"), F.count("ean").alias("with_ean")
-    )
+    priced = F.col("retailer").isin("ab", "kritikos", "galaxias")
+    indexed = view(spark, sf, "offers").filter(priced).select(
+        F.col("product_id").alias("query_id"), "retailer", F.col("sku").cast("bigint").alias("pos"), "sku")
+    live = view(spark, sf, "listings").filter(~priced).select(
+        F.col("product_id").alias("query_id"), "retailer", (F.col("id") % 10).alias("pos"), F.col("retailer_sku").alias("sku"))
+    failed = view(spark, sf, "captures").filter("seq % 10 = 7").select(
+        F.col("product_id").alias("query_id"), "retailer", F.concat(F.lit("no answer from "), "retailer").alias("error"))
+    results, errors = search.merge_chain_results(indexed, live, failed)
+    return results.unionByName(errors, allowMissingColumns=True)
 
 
 NOW = "TIMESTAMP '2024-01-30 00:00:00'"

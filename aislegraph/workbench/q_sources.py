@@ -1,10 +1,13 @@
 """Payload extraction: storefront payloads are written from the given tables, in
 each chain's own shape, and read back; pages and addresses also run as given."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislegraph.functions import text
-from aislegraph.operators import linking, search
+from aislegraph.operators import linking
 from aislegraph.sources import pages, payloads, urls
 from aislegraph.workbench.registry import query
 from aislegraph.workbench.tables import load, view, with_views
@@ -143,7 +146,7 @@ def rejected_payloads(spark, sf):
     )
     chains = ["ab", "galaxias", "kritikos", "lidl", "masoutis"]
     parts = [payloads.rejected(rows.filter(F.col("event_id") % 5 == i), chain) for i, chain in enumerate(chains)]
-    return search.merge_chain_results(*parts)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("announced_pages", """

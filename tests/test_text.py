@@ -136,3 +136,17 @@ def test_patches_refuse_odd_numbers_and_blank_names(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(sent)], "i int, sent map<string,string>")
     got = [r.p for r in rows.orderBy("i").select(maintenance.patch_problem(F.col("sent")).alias("p")).collect()]
     assert got == ["bad_size"] * 4 + [None, "empty_brand", "empty_title"]
+
+
+def test_accents_of_every_script_go(spark):
+    """Canonical decomposition without diacritics, as web pages fold; words hold together."""
+    import unicodedata
+
+    import regex
+
+    rows = ["Ờ ạ ǭ", "がぎ パン", "ש֑לום", "a᷄b c⃐d", "ἄᾳΐ ΅x΄", "ṩȭ", "Ѝй Ќ", "ਲ਼ क़", "ẹ́t", "no·mid¨dle`s^", "ﬁ Ⅷ ½", "ё𝒜"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i")
+    got = [r[0] for r in frame.select(text.strip_accents(F.lower("t"))).collect()]
+    folded = [regex.sub(r"\p{Diacritic}", "", unicodedata.normalize("NFD", t.lower())) for t in rows]
+    # What is no diacritic (the nukta, for one) stays; composed on one side only where it is more than one character.
+    assert [unicodedata.normalize("NFD", regex.sub(r"\p{Diacritic}", "", g)) for g in got] == folded

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislegraph.model import BARCODE_HIT_TTL_DAYS, BARCODE_MISS_TTL_DAYS
+from aislegraph.operators.ordering import first_known
 from aislegraph.session import cut_lineage
 
 STATE = ["key", "cached_at", "found"]
@@ -16,39 +17,55 @@ def _expires(cached_at: Column, found: Column) -> Column:
     return cached_at + F.make_dt_interval(days=days)
 
 
-def _earliest(rows: DataFrame) -> DataFrame:
-    first = F.min(F.struct("ts", "seq", "found")).alias("f")
-    return rows.groupBy("key").agg(first).select(
-        "key", F.col("f.ts").alias("cached_at"), F.col("f.seq").alias("seq"), F.col("f.found").alias("found")
+WRITE = ["key", "ts", "seq", "found"]
+
+
+def _following(lookups: DataFrame, sources: DataFrame) -> DataFrame:
+    """source and target of every source that a lookup would replace: its first lookup after
+    expiry, one that found something where the source had.
+
+    Lookups and expiry times are merged in one sort over (key, time), dealt by ranges, so that a key's
+    lookups may lie over many tasks."""
+    write = F.struct(*WRITE)
+    looked = lookups.select("key", F.col("ts").alias("at"), F.lit(1).alias("tie"), "seq", F.lit(None).cast(sources.schema["source"].dataType).alias("source"), write.alias("any"), F.when(F.col("found"), write).alias("known"))
+    none = F.lit(None).cast(looked.schema["any"].dataType)
+    # A lookup at the very moment of expiry comes after it.
+    probes = sources.select(
+        F.col("source.key").alias("key"), _expires(F.col("source.ts"), F.col("source.found")).alias("at"), F.lit(0).alias("tie"),
+        F.col("source.seq").alias("seq"), "source", none.alias("any"), none.alias("known"),
     )
+    told = first_known(looked.unionByName(probes), [F.col("key"), F.col("at"), F.col("tie"), F.col("seq")], {"next_any": "any", "next_known": "known"})
+    target = F.when(F.col("source.found"), F.col("next_known")).otherwise(F.col("next_any"))
+    return told.where("tie = 0").select("source", target.alias("target")).where("target.key = source.key")
 
 
 def cache_writes(lookups: DataFrame, state: DataFrame) -> DataFrame:
     """All cache writes that ``lookups(key, ts, seq, found)`` cause, after ``state``.
 
     A key's writes form a chain: the next one is its first lookup after expiry (a
-    lookup that found nothing never replaces a known entry). Each round finds the
-    next write of every key with one aggregate, so no key's lookups are gathered
-    or replayed in one task; the number of rounds is bounded by the time span of
-    the batch divided by the shorter time to live.
+    lookup that found nothing never replaces a known entry). Every lookup points at the one that would
+    follow it as a write; from each key's first write the chain is then reached by pointer jumping: a
+    round doubles the reach, so rounds grow with the logarithm of the longest chain. No key's lookups are
+    gathered in one task. A null key has no entry.
     """
-    fresh = _earliest(lookups.join(state.select("key"), "key", "left_anti"))
-    known = state.select("key", "cached_at", F.lit(-1).cast("bigint").alias("seq"), "found")
-    current = cut_lineage(known.unionByName(fresh))
-    writes = fresh
+    lookups = lookups.select(*WRITE).where("key IS NOT NULL")
+    first = F.min(F.struct("ts", "seq", "found")).alias("f")
+    fresh = lookups.join(state.select("key"), "key", "left_anti").groupBy("key").agg(first).select("key", "f.*")
+    known = state.select("key", F.col("cached_at").alias("ts"), F.lit(-1).cast("bigint").alias("seq"), "found").where("key IS NOT NULL")
+    every = lookups.select(F.struct(*WRITE).alias("source")).unionByName(known.select(F.struct(*WRITE).alias("source")))
+    jump = cut_lineage(_following(lookups, every))
+    start = fresh.select(F.struct(*WRITE).alias("w")).unionByName(known.select(F.struct(*WRITE).alias("w")))
+    reached = cut_lineage(start)
     while True:
-        held = current.select(
-            "key", F.col("cached_at").alias("held_at"), F.col("found").alias("held_found")
-        )
-        due = lookups.join(held, "key").filter(
-            (F.col("ts") >= _expires(F.col("held_at"), F.col("held_found")))
-            & (F.col("found") | ~F.col("held_found"))
-        )
-        following = cut_lineage(_earliest(due))
-        if following.isEmpty():
-            return cut_lineage(writes)
-        writes = writes.unionByName(following)
-        current = following
+        further = reached.join(jump, F.col("w") == F.col("source")).select(F.col("target").alias("w"))
+        grown = cut_lineage(further.join(reached, "w", "left_anti").distinct())
+        if grown.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(grown))
+        onward = jump.select(F.col("source").alias("target"), F.col("target").alias("end"))
+        jump = cut_lineage(jump.join(onward, "target").select("source", F.col("end").alias("target")))
+    written = reached.select("w.*").where("seq >= 0")
+    return cut_lineage(written.select("key", F.col("ts").alias("cached_at"), "seq", "found"))
 
 
 def cache_outcomes(lookups: DataFrame, state: DataFrame, writes: DataFrame) -> DataFrame:

@@ -189,3 +189,29 @@ def test_routes(spark):
     rows = [("https://www.ab.gr/x/p/12",), ("https://ab.gr/x",), ("https://notab.gr/x",), ("nonsense",)]
     frame = spark.createDataFrame(rows, "u string")
     assert [r[0] for r in frame.select(urls.route_url(F.col("u"))).collect()] == ["ab", "ab", None, None]
+
+
+def test_expiry_chains_in_few_rounds(spark, monkeypatch):
+    """A key with most lookups over thirty years, and many small ones, against a replay in order."""
+    import random
+
+    rng = random.Random(8)
+    rows = [("hot", i * 3, i, rng.random() < 0.1) for i in range(3_500)]
+    rows += [(f"k{rng.randrange(200)}", rng.randrange(900), 10_000 + i, rng.random() < 0.6) for i in range(2_000)]
+    start = dt.datetime(2000, 1, 1)
+    at = lambda days: start + dt.timedelta(days=days)
+    held = {"hot": (at(-20), False), "k3": (at(100), True), "unseen": (at(1), True)}
+    want, entries = set(), dict(held)
+    for key, day_, seq, found in sorted(rows, key=lambda r: (r[1], r[2])):
+        old = entries.get(key)
+        due = old is None or (at(day_) >= old[0] + dt.timedelta(days=90 if old[1] else 14) and (found or not old[1]))
+        if due:
+            entries[key] = (at(day_), found)
+            want.add((key, seq))
+    lookups = spark.createDataFrame([(k, at(d), s, f) for k, d, s, f in rows] + [(None, at(1), 99_999, True)], "key string, ts timestamp_ntz, seq bigint, found boolean").repartition(6)
+    state = spark.createDataFrame([(k, *v) for k, v in held.items()], "key string, cached_at timestamp_ntz, found boolean")
+    stored, keep = [], cache.cut_lineage
+    monkeypatch.setattr(cache, "cut_lineage", lambda frame: stored.append(1) or keep(frame))
+    got = {(r.key, r.seq) for r in cache.cache_writes(lookups, state).collect()}
+    assert got == want and len([k for k, _ in want if k == "hot"]) > 60
+    assert len(stored) < 3 * 12

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from aislegraph.functions import matching, numbers, text
-from aislegraph.model import RETAILER_IDS, retailer_dim
+from aislegraph.model import RETAILER_IDS, SUGGESTION_THRESHOLD, retailer_dim
 from aislegraph.operators import linking, search
 from aislegraph.plans import linkage
+from aislegraph.session import reuse
 from aislegraph.workbench import duck
 from aislegraph.workbench.registry import query
 from aislegraph.workbench.tables import load, view, with_views
@@ -369,7 +370,7 @@ CLASSES = f"""fa0 AS (
     WHERE list_has_all(a_keys, b_gate)
       AND (a_size_value IS NULL OR b_size_value IS NULL OR (a_size_unit = b_size_unit
            AND a_size_value = b_size_value AND a_size_count = b_size_count))
-      AND coalesce(a_pct = b_pct, true) AND list_has_any(a_stems, b_stems)
+      AND coalesce(a_pct = b_pct, true)
 )"""
 
 
@@ -389,10 +390,16 @@ def suggest_matches(spark, sf):
     return found.withColumn("score", numbers.round6(F.col("score")))
 
 
-@query("candidate_blocking")
+# Which of all pairs reach the threshold, against which of the blocked ones do: blocking loses none.
+@query("candidate_blocking", with_views("offers products", f""", {CLASSES}, {scored_sql('pairs')}
+    SELECT a_id, b_id FROM scored WHERE variant_ok AND raw_score >= 0.45 - 1e-9"""))
 def candidate_blocking(spark, sf):
-    titles = offer_classes(spark, sf).withColumnRenamed("class_id", "a_id")
-    return linking.candidate_blocking(titles, linking.product_features(products(spark, sf), "b_id"))
+    titles = reuse(offer_classes(spark, sf).withColumnRenamed("class_id", "a_id"))
+    stored = reuse(linking.product_features(products(spark, sf), "b_id"))
+    pairs = linking.candidate_blocking(titles, stored)
+    left, right = matching.pack(titles, "fa", ["a_id"]), matching.pack(stored, "fb", ["b_id"])
+    scored = matching.score_pairs(pairs.join(left, "a_id").join(right, "b_id"), "fa", "fb")
+    return scored.filter(F.col("score") >= SUGGESTION_THRESHOLD - linking.EPSILON).select("a_id", "b_id")
 
 
 DUPLICATES = f"""fa0 AS (
@@ -420,7 +427,7 @@ DUPLICATES = f"""fa0 AS (
     SELECT fa.* EXCLUDE (words), fb.* EXCLUDE (words) FROM fa JOIN fb ON list_has_all(a_keys, b_gate)
       AND (a_size_value IS NULL OR b_size_value IS NULL OR (a_size_unit = b_size_unit
            AND a_size_value = b_size_value AND a_size_count = b_size_count))
-      AND coalesce(a_pct = b_pct, true) AND list_has_any(a_stems, b_stems)
+      AND coalesce(a_pct = b_pct, true)
 )"""
 
 

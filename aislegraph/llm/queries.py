@@ -36,6 +36,41 @@ def fold(column: str, parts: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+WORDS = r"'[^\x20\x09-\x0D]+'"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All pairs that share a shingle, then everything in reach of each document.
+NEAR_COPIES = f"""WITH RECURSIVE read AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, {WORDS}) AS words FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS h
+    FROM read, unnest(range(1, greatest(len(words) - 3, 2))) t(i) WHERE len(words) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.low AS component_id, r.low = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+#: Every window of 35 words of every document.
+REPEATS = f"""WITH read AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), {WORDS}) AS words FROM documents
+), windows AS (
+    SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM read, unnest(range(1, len(words) - 33)) t(i) WHERE len(words) >= 35
+), repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), covered AS (SELECT DISTINCT r, i + d AS p FROM windows JOIN repeated USING (h) CROSS JOIN range(0, 35) t(d)
+), places AS (
+    SELECT read.r, p, words[p] AS word FROM read, unnest(range(1, len(words) + 1)) t(p)
+), kept AS (
+    SELECT r, count(*) AS n, array_to_string(list(word ORDER BY p), ' ') AS text FROM places ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM read LEFT JOIN kept USING (r)"""
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.packing import pack_documents
@@ -59,7 +94,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.where(~F.col("held_out")))).select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op5_repeated_windows")
+@query("op5_repeated_windows", REPEATS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.repeats import remove_repeats
 
@@ -87,7 +122,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op1_near_copies")
+@query("op1_near_copies", NEAR_COPIES)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.near_copies import near_copies
 
@@ -162,3 +197,54 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aislegraph.llm.alignment import align_documents
 
     return align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def _base_spans_sql(kinds: list[tuple[str, str, str]], order: str) -> str:
+    """Leftmost matches of (kind, pattern, condition on v or its group g), counted and digested for each document."""
+    parts = [
+        f"""m{k} AS (
+    SELECT r, {k} AS rank, '{kind}' AS kind, v, g, sum(length(gap) + length(v)) OVER (PARTITION BY r ORDER BY i) - length(v) AS start
+    FROM (SELECT r, unnest(range(1, len(regexp_extract_all(text, {pattern})) + 1)) AS i,
+                 unnest(regexp_extract_all(text, {pattern})) AS v, unnest(regexp_extract_all(text, {pattern}, 1)) AS g,
+                 unnest(string_split_regex(text, {pattern})[1:len(regexp_extract_all(text, {pattern}))]) AS gap FROM read)
+), k{k} AS (SELECT * FROM m{k} WHERE {condition})"""
+        for k, (kind, pattern, condition) in enumerate(kinds)
+    ]
+    every = " UNION ALL ".join(f"SELECT r, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + length(v) AS BIGINT) AS stop FROM k{k}" for k in range(len(kinds)))
+    counts = ", ".join(f"count(*) FILTER (rank = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(kinds))
+    return f"""WITH read AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+), {", ".join(parts)}, spans AS ({every}), told AS (
+    SELECT r, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY {order}) AS listed FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in kinds)}, sha256(coalesce(listed, '')) AS base_sha256
+FROM read LEFT JOIN told USING (r)"""
+
+
+SECRETS = _base_spans_sql([
+    ("assign", r"""'(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", "length(g) >= 6"),
+    ("access", "'(AKIA[A-Z0-9]+)'", "length(v) >= 20"),
+    ("hex", "'([0-9a-f]+)'", "length(v) >= 24"),
+], "start, rank")
+
+_NUMERALS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(0, length({_NUMERALS})), lambda j: CASE WHEN j % 2 = 0 THEN CAST({_NUMERALS}[length({_NUMERALS}) - j] AS INT) "
+    f"WHEN CAST({_NUMERALS}[length({_NUMERALS}) - j] AS INT) > 4 THEN 2 * CAST({_NUMERALS}[length({_NUMERALS}) - j] AS INT) - 9 "
+    f"ELSE 2 * CAST({_NUMERALS}[length({_NUMERALS}) - j] AS INT) END)) % 10 = 0"
+)
+PRIVATE = _base_spans_sql([
+    ("email", r"'([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)'", "true"),
+    ("ip", r"'([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)'", "len(list_filter(string_split(v, '.'), lambda x: coalesce(try_cast(x AS BIGINT), 256) > 255)) = 0"),
+    ("card", r"'([0-9](?:[\x20-]?[0-9])+)'", f"length({_NUMERALS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", r"'(\+[0-9][\x20().0-9-]+[0-9])'", f"length({_NUMERALS}) BETWEEN 9 AND 15"),
+], "rank, start")
+
+
+# What SQL can say of two operators: the columns of their fixed patterns, from the operators' own results.
+@query("secret_base_spans", SECRETS)
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+@query("personal_base_spans", PRIVATE)
+def personal_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")

@@ -30,7 +30,7 @@ def test_stream_upsert_over_several_batches_equals_batch(spark, tmp_path):
         frame.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.read_stream(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
     jobs.stream_price_upsert(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select(*frame.columns)
+    got = jobs.read_prices(spark, str(tmp_path / "out")).select(*frame.columns)
     want = maintenance.last_wins(frame, maintenance.HISTORY_KEY, ["seq"])
     assert sorted(got.collect()) == sorted(want.collect())
 

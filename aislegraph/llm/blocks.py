@@ -6,6 +6,9 @@ about ``block_bytes`` of compressed rows, is dealt by its id and stored, and eve
 joins small replies to it. A key that stands in a third of all documents costs one entry per
 block. ``block_bytes`` should grow with the square root of the input (2 MB for gigabytes, 32 MB
 for terabytes), so that messages stay long.
+
+Defined cases: a null text has no keys; a text longer than a block is a block of its own; blocks without keys
+get no replies; repeated rows are documents each; an empty table has no blocks.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns id, component (the smallest id in reach) of every id in a link (stored).
 
     Each round takes the smallest label among a node's neighbours and then the label of that label;
-    minima combine before the shuffle, so a node with very many links costs little."""
+    minima combine before the shuffle, so a node with very many links costs little. Repeated links and links of
+    an id with itself change nothing; links with a null end join nothing; no links give no rows."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
     both = cut_lineage(both.distinct())
     labels = cut_lineage(both.groupBy("id").agg(F.min("other").alias("component")).select("id", F.least("id", "component").alias("component")))

@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislegraph.llm.components import connected_components
-from aislegraph.llm.text import byte_hashes, gram_hashes, lower_table, mix, ragged, slices, span_hashes, text_buffer, word_spans
-from aislegraph.session import cut_lineage
+from aislegraph.llm.text import byte_hashes, give_back, gram_hashes, lower_table, mix, ragged, slices, span_hashes, text_buffer, word_spans
+from aislegraph.session import cut_lineage, release
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -96,6 +96,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())],
                 ["doc_id", "n_shingles", "fingerprint", "signature"],
             )
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return cut_lineage(rows.mapInArrow(work, "doc_id long, n_shingles long, fingerprint binary, signature binary"))
@@ -235,6 +236,7 @@ def likely_forest(leaves: DataFrame) -> DataFrame:
                 keep = _forest(first, second, agree, component)
                 x, y = ids[first[keep]], ids[second[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        give_back()
 
     return _by_leaf(leaves).mapInArrow(work, "a long, b long").where("a <> b").distinct()
 
@@ -264,6 +266,7 @@ def settle_leaves(leaves: DataFrame, docs: DataFrame) -> DataFrame:
             out = list(zip(*_linked(leaf["id"].to_numpy(), leaf["component"].to_numpy(), [np.frombuffer(x, np.uint64) for x in leaf["set"].to_pylist()]), strict=True))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "common", "either"])
+        give_back()
 
     found = _by_leaf(open_rows.join(sets, "id"), "set").mapInArrow(compare, "a long, b long, common long, either long")
     return cut_lineage(found.distinct())
@@ -310,6 +313,7 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
             for part in slices(iter([own])):
                 sets = shingle_sets(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").withColumn("bit", mask_bit("id"))
     return cut_lineage(rows.mapInArrow(work, "id long, set binary").join(ids, "id", "left_semi"))
@@ -401,7 +405,9 @@ def near_copies(docs: DataFrame, trees: int = TREES) -> DataFrame:
     copies = usable.join(sets.select("fingerprint", "id"), "fingerprint").select("doc_id", "id")
 
     leaves, links = [], []
+    release(docs.sparkSession)
     rows = cut_lineage(populated(grow_roots(sets, trees)))
+    release(docs.sparkSession)
     for level in range(LEVELS):
         leaves.append(rows.where(F.col("size") <= LEAF_SETS).select(F.col("node").alias("leaf"), "id"))
         large = rows.where(F.col("size") > LEAF_SETS).select("node", "id")
@@ -412,6 +418,8 @@ def near_copies(docs: DataFrame, trees: int = TREES) -> DataFrame:
         pairs, left = leader_pass(large, docs)
         links.append(pairs)
         rows = cut_lineage(populated(grow(left)))
+        large = left = None
+        release(docs.sparkSession)
     if rows is not None:
         leaves.append(rows.where(F.col("size") <= LEAF_SETS).select(F.col("node").alias("leaf"), "id"))
         leaves.append(block_pairs(rows.where(F.col("size") > LEAF_SETS)))
@@ -420,14 +428,20 @@ def near_copies(docs: DataFrame, trees: int = TREES) -> DataFrame:
     for more in leaves[1:]:
         leaf_rows = leaf_rows.union(more)
     leaf_rows = cut_lineage(leaf_rows.join(signatures, "id"))
+    leaves = rows = large = more = None
+    release(docs.sparkSession)
     # A set linked to a leader is in the leader's component.
     labels = _union(links).where(LINKED).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")) if links else None
     pairs = likely_forest(_labelled(leaf_rows, labels))
     if links:
         pairs = pairs.join(_union(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links.append(confirm(pairs, docs))
+    pairs = None
+    release(docs.sparkSession)
     labels = connected_components(_union(links).where(LINKED))
     links.append(settle_leaves(_labelled(leaf_rows, labels), docs))
+    leaf_rows = None
+    release(docs.sparkSession)
     if not links[-1].isEmpty():
         labels = connected_components(_union(links).where(LINKED))
     grouped = copies.distinct().join(labels, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))

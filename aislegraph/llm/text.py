@@ -3,10 +3,14 @@
 A word is a run of bytes outside space and 0x09-0x0D. All hashes are 64 bits: a
 polynomial over random byte values modulo 2**64, taken from prefix sums, then mixed.
 They depend on the content alone, so every executor gets the same ones.
+
+Defined cases: null, empty and blank texts have no words; a text longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -103,6 +107,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Free memory of this worker process goes back to the machine, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text (one row at least)."""
     for batch in batches:

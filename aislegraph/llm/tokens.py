@@ -7,6 +7,8 @@ with anything else in it goes to the tokenizer as one piece, which is right beca
 crosses the point where blanks begin. Each distinct piece of a slice is tokenized once and
 kept in a bounded cache of the worker. Texts with blanks beyond ASCII or with the
 vocabulary's special strings go whole to the tokenizer.
+
+Defined cases: null and empty texts have no ids; a piece of any length is merged as one.
 """
 
 from __future__ import annotations

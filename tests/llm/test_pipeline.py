@@ -46,3 +46,10 @@ def test_documents_without_languages_stay(spark):
     rows = [(1, "some words", None), (2, "日本", None), (3, "12 34", None), (4, None, None), (5, "é", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, 2, 5}
+
+
+def test_rows_that_share_a_doc_id_go_only_with_their_words(spark):
+    one, two = "one two three four five six seven", "quite other words stand in this very text"
+    rows = [(1, one), (1, one.upper()), (1, two), (1, None), (2, two + " and more at its end"), (None, one), (None, one)]
+    left = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in left) == sorted((str(i), (t or "").lower()) for i, t in [rows[0], rows[2], rows[3], rows[4], rows[5], rows[6]])

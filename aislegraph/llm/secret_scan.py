@@ -5,8 +5,10 @@ alphabet (hex, base-36, base-62, base-64): chi-squared uniformity of its charact
 and a serial-correlation test, combined by Fisher's method into one p-value. How large that must
 be depends on encoding and length: for every (encoding, length class) the share of ordinary words
 (letters only, of that length) that pass is counted over all documents, and the lowest p-value is
-taken at which expected false discoveries are at most ``FALSE_SHARE`` of the tokens that pass. Length
-classes with few ordinary words use the next shorter one, whose words pass more easily; with none at all, no token is added.
+taken at which expected false discoveries are at most ``FALSE_SHARE`` of the tokens that pass. Words of a
+length class that are too few to tell (even none passing leaves a rate over FALSE_SHARE) give way to
+those of the next shorter one, which pass more easily; where these cannot tell either, the level comes from the tests'
+own null distribution: a token has to look more random than half of all random ones do.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are judged each; an
 empty table gives no rows; ``scan_secrets`` keeps the columns asked for, and columns with the names
@@ -36,7 +38,6 @@ ALPHABETS = (16, 36, 62, 64)
 LENGTH_CLASSES = (16, 20, 24, 32, 48)
 LEVELS = (0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.001, 0.0001)
 FALSE_SHARE = 0.05
-LEAST_WORDS = 50
 MARK = "[SECRET]"
 _OWN = ("assign", "access", "hex", "tokens", "random")
 
@@ -135,6 +136,11 @@ def _level(p: Column) -> Column:
     return reduce(lambda out, k: F.when(p >= LEVELS[k], k).otherwise(out), reversed(range(len(LEVELS))), F.lit(len(LEVELS)))
 
 
+def tells(words: list[int]) -> bool:
+    """Whether so many words could show a pass rate of FALSE_SHARE."""
+    return 1 / (sum(words) + 1) <= FALSE_SHARE
+
+
 def thresholds(scanned: DataFrame) -> dict[tuple[int, int], float]:
     """Lowest accepted p-value by (alphabet, length class); counts cover all documents, and the table
     counted has at most alphabets x classes x levels rows."""
@@ -157,9 +163,11 @@ def thresholds(scanned: DataFrame) -> dict[tuple[int, int], float]:
         words = None
         for k in range(len(LENGTH_CLASSES)):
             own = found.get((size, k, True))
-            words = own if own and sum(own) >= LEAST_WORDS else words
+            words = own if own and tells(own) else words
             tokens_here = found.get((size, k, False))
-            if words and tokens_here:
+            if tokens_here and words is None:
+                out[size, k] = LEVELS[0]
+            elif tokens_here:
                 total = sum(tokens_here)
                 for level in reversed(range(len(LEVELS))):
                     passing = sum(tokens_here[: level + 1])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -47,7 +48,7 @@ def noise(rng):
 @pytest.fixture(scope="module")
 def noisy(texts):
     rng = random.Random(11)
-    fixed = ["a@b.c_x@d.e", "a@b.c@d.e.", "é+1 234 567 890", "0255.1.1.1 256.1.1.1 1.2.3.4.5", "secret=token:abcdefghi", "4" * 30_000, "1 " * 20_000, "a." * 20_000 + "@" + "b." * 20_000 + "c"]
+    fixed = ["a@b.c_x@d.e", "a@b.c@d.e.", "é+1 234 567 890", "0255.1.1.1 256.1.1.1 1.2.3.4.5", "secret=token:abcdefghi", "4" * 30_000, "1 " * 20_000, "a." * 20_000 + "@" + "b." * 20_000 + "c", "1.2.3.4 " * 500, "secret=abcdef1 " * 384, "7" * 3000 + ".1.1.1." + "8" * 3000, "+4917112345678 " * 129]
     return dict(texts) | {1000 + k: t for k, t in enumerate(fixed)} | {2000 + k: noise(rng) for k in range(400)}
 
 
@@ -74,6 +75,25 @@ def test_random_tokens_are_told_from_words(make_docs):
     assert sum(found[i] for i in range(200)) == 0 and sum(found[2000 + i] for i in range(60)) <= 6
 
 
+def test_random_tokens_in_a_table_of_ten_rows(make_docs):
+    rng = random.Random(5)
+    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, f"see {''.join(rng.choice(pool) for _ in range(40))}Z9a") for i in range(5)]
+    rows += [(10 + i, f"aaaaaaaa11111111aaaaaaaa{i} and abcabcabc123123123123abc{i}") for i in range(5)]
+    found = {r["doc_id"]: len(r["random"]) for r in secret_scan.scan_secrets(make_docs(rows)).collect()}
+    assert sum(found[i] for i in range(5)) >= 2 and not any(found[10 + i] for i in range(5))
+
+
+def test_long_texts_take_time_in_proportion(make_docs):
+    rng = random.Random(6)
+    tokens = " ".join("".join(rng.choices("abcdefghijklmnop", k=20)) for _ in range(50_000))
+    rows = [(1, tokens), (2, "5" * 1_000_000), (3, "1." * 500_000), (4, "12345.67 " * 100_000)]
+    began = time.time()
+    assert secret_scan.scan_secrets(make_docs(rows)).count() == 4
+    assert {r["doc_id"]: len(r["ip"]) for r in personal_data.find_personal_data(make_docs(rows)).collect()} == {1: 0, 2: 0, 3: 125_000, 4: 0}
+    assert time.time() - began < 150
+
+
 def test_redaction_covers_spans_and_keeps_the_rest(make_docs):
     docs = make_docs([(1, "é token=abcdef12 x"), (2, "clean"), (3, None), (3, "clean")])
     assert sorted((r["doc_id"], r["text"] or "") for r in secret_scan.redact_secrets(docs).collect()) == [(1, "é [SECRET] x"), (2, "clean"), (3, ""), (3, "clean")]

@@ -6,8 +6,11 @@ until they hold enough vectors, and all of these are ranked by their true distan
 
 Codebooks come from ``FIT_ROWS`` rows at most, those with the smallest hash of vec_id; every row
 is indexed. K centroids a half, so that a cell has CELL_ROWS rows on average (K <= MAX_K). A
-query sees at least ``share`` of all rows (``LEAST_ROWS`` at least), which keeps recall level as the
-table grows; the default is for vectors with hardly any clusters, whose neighbours are far apart.
+query sees the nearest cells that hold ``share`` of all rows. Unless it is given, the share is measured:
+for CHECK_QUERIES rows of the sample, how far down their list of cells the true neighbours within
+the sample lie, and the share that finds ``recall`` of them. In a sample neighbours lie farther
+apart than among all rows, so the share errs on the side of more. Vectors in clusters need little of
+the table, those without any much of it.
 Cells lie together in shards of about SHARD_ROWS rows, larger cells over several shards, and
 queries in parts of PART_QUERIES, so a cell with a third of all rows is searched by many tasks.
 
@@ -39,8 +42,8 @@ CELL_ROWS = 8
 MAX_K = 256
 SHARD_ROWS = 4_096
 PART_QUERIES = 2_000
-LEAST_ROWS = 8_000
-SHARE = 0.45
+CHECK_QUERIES = 200
+RECALL = 0.95
 
 
 @dataclass
@@ -93,6 +96,28 @@ def nearest_cells(first: np.ndarray, second: np.ndarray, sizes: dict[int, int],
     return out
 
 
+def measured_share(sample: np.ndarray, books: Codebooks, k: int, recall: float) -> float:
+    """Share of the rows that a query has to see for ``recall`` of its k nearest in the sample."""
+    one, two = books.halves(sample)
+    wide = len(books.second)
+    cell = one.argmin(1) * wide + two.argmin(1)
+    sizes = np.bincount(cell, minlength=len(books.first) * wide)
+    needed = []
+    for q in range(min(CHECK_QUERIES, len(sample))):
+        order = np.argsort((one[q][:, None] + two[q][None, :]).ravel(), kind="stable")
+        before = np.empty(len(order))
+        before[order] = np.cumsum(sizes[order]) - sizes[order]
+        score = ((sample - sample[q]) ** 2).sum(1)
+        score[q] = np.inf
+        near = _nearest(score, np.arange(len(sample)), min(k, len(sample) - 1))
+        needed.append(before[cell[near]] / len(sample))
+    every = np.sort(np.concatenate(needed)) if needed else np.zeros(0)
+    if not len(every):
+        return 1.0
+    # A cell is taken as long as those before it hold less than the share.
+    return min(1.0, float(every[min(len(every) - 1, math.ceil(recall * len(every)))]) + 1 / len(sample))
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dims)
 
@@ -113,7 +138,7 @@ def valid_vectors(rows: DataFrame, id_column: str, vector_column: str) -> tuple[
     return cut_lineage(vectors.where(F.size("v") == dims).mapInArrow(pack, "vec_id long, v binary")), dims
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, share: float = SHARE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, share: float | None = None, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The k nearest rows of each query (``is_query`` is over vec_id) other than itself: query_id, rank, vec_id, score."""
     spark = rows.sparkSession
     vectors, dims = valid_vectors(rows, id_column, vector_column)
@@ -122,8 +147,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, share: float = SHARE,
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toArrow()
-    books = fit(_matrix(sample["v"], dims), min(MAX_K, max(4, round(math.sqrt(total / CELL_ROWS)))))
+    drawn = _matrix(sample["v"], dims)
+    books = fit(drawn, min(MAX_K, max(4, round(math.sqrt(total / CELL_ROWS)))))
     wide = len(books.second)
+    share = measured_share(drawn, books, k, recall) if share is None else share
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +161,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, share: float = SHARE,
 
     index = cut_lineage(vectors.mapInArrow(place, "cell int, vec_id long, v binary"))
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # at most MAX_K squared
-    enough, shards = max(LEAST_ROWS, math.ceil(share * total)), math.ceil(total / SHARD_ROWS)
+    enough, shards = max(k + 1, math.ceil(share * total)), math.ceil(total / SHARD_ROWS)
     queries = vectors.where(is_query)
     query_parts = max(1, math.ceil(queries.count() / PART_QUERIES))
     # A cell of more than SHARD_ROWS rows is spread over as many neighbouring shards as it needs.

@@ -275,7 +275,7 @@ def test_search_meets_brute_force(spark):
     rows += [(100_000, None, "?"), (100_100, [0.0] * 16, "?"), (100_200, [1.0, None] + [0.0] * 14, "?"), (100_300, [float("nan")] * 16, "?"), (100_400, [1.0], "?"), (None, [1.0] * 16, "?")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = {}
-    for r in search(table, F.pmod("vec_id", F.lit(100)) == 0, share=0.5).collect():
+    for r in search(table, F.pmod("vec_id", F.lit(100)) == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     assert set(got) == set(range(0, 9_500, 100))
@@ -291,3 +291,25 @@ def test_search_meets_brute_force(spark):
     assert search(table.limit(0), F.pmod("vec_id", F.lit(100)) == 0).count() == 0
     few = search(table.where("vec_id < 4"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert len(few) == 3
+
+
+def test_cells_decide_in_small_tables_too(spark):
+    """Under half of the rows are looked at and nine in ten neighbours are found."""
+    from aislegraph.llm.multi_index import RECALL, fit, measured_share, nearest_cells, search
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 12))[rng.integers(0, 30, 1_200)] * 4 + rng.normal(size=(1_200, 12)) * 0.3
+    books = fit(x, 12)
+    share = measured_share(x, books, 10, RECALL)
+    one, two = books.halves(x)
+    cells = one.argmin(1) * len(books.second) + two.argmin(1)
+    sizes = {int(c): int(n) for c, n in zip(*np.unique(cells, return_counts=True))}
+    seen = [np.isin(cells, nearest_cells(one[q], two[q], sizes, max(11, int(np.ceil(share * len(x)))))).sum() for q in range(0, 1_200, 50)]
+    assert max(seen) < len(x) / 2
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in search(table, F.pmod("vec_id", F.lit(50)) == 0).collect():
+        distance = ((x - x[r["query_id"]]) ** 2).sum(1)
+        distance[r["query_id"]] = np.inf
+        hits += r["vec_id"] in np.argsort(distance, kind="stable")[:10]
+    assert hits >= 0.9 * 240

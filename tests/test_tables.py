@@ -215,3 +215,17 @@ def test_expiry_chains_in_few_rounds(spark, monkeypatch):
     got = {(r.key, r.seq) for r in cache.cache_writes(lookups, state).collect()}
     assert got == want and len([k for k, _ in want if k == "hot"]) > 60
     assert len(stored) < 3 * 12
+
+
+def test_first_known_reads_each_row_once(spark):
+    from aislegraph.operators.ordering import first_known
+
+    rows = [(k, i, i if i % 5 == k else None) for k in range(3) for i in range(40)]
+    frame = spark.createDataFrame(rows, "k int, i int, v int").withColumn("v", F.col("v") + F.col("k") * 100)
+    told = first_known(frame, [F.col("k"), F.col("i")], {"next": "v"})
+    # A frame that is open at its end is added up once for every row of a task.
+    assert "unboundedfollowing" not in told._jdf.queryExecution().toString().lower()
+    values = sorted(k * 100 + v for k, _, v in rows if v is not None)
+    for r in told.collect():
+        at = r.k * 100 + r.i
+        assert r.next == next((v for v in values if v >= at), None)

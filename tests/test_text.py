@@ -150,3 +150,20 @@ def test_accents_of_every_script_go(spark):
     folded = [regex.sub(r"\p{Diacritic}", "", unicodedata.normalize("NFD", t.lower())) for t in rows]
     # What is no diacritic (the nukta, for one) stays; composed on one side only where it is more than one character.
     assert [unicodedata.normalize("NFD", regex.sub(r"\p{Diacritic}", "", g)) for g in got] == folded
+
+
+def test_numbers_are_worked_out_once_and_read_every_kind_of_space(spark):
+    from pyspark.sql import functions as F
+
+    from aislegraph.functions import numbers, text
+
+    rows = [("1 kg = Από 1.299,90 € σε 9,30 €<b>",), ("1 Lt =　2,15€",), ("1 kg = -",), ("none",), (None,)]
+    frame = spark.createDataFrame(rows, "t string")
+    price, label = numbers.base_price_text(F.col("t"))
+    got = [(r.p, r.l) for r in frame.select(price.alias("p"), label.alias("l")).collect()]
+    assert got == [(9.3, "κιλό"), (2.15, "λίτρο"), (None, None), (None, None), (None, None)]
+    value = numbers.greek_number(F.sqrt(F.col("t").try_cast("double")).cast("string"))
+    assert frame.select(value.alias("v"))._jdf.queryExecution().analyzed().toString().lower().count("sqrt(") == 1
+    spaced = spark.createDataFrame([("".join(f"a{c}" for c in text.WIDE_SPACES) + " \tω​＀",)], "t string")
+    plain = spaced.select(text.plain_spaces(F.col("t")).alias("t")).head().t
+    assert plain == "a " * len(text.WIDE_SPACES) + " \tω​＀"

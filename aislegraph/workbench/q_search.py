@@ -161,7 +161,8 @@ rare AS (
 
 def catalog_hits(spark, sf):
     index = stored_index(spark, sf, "offers", offers_catalog)
-    return search.bm25_search(terms_of(product_queries(spark, sf)), index, search.SEARCH_ROW_CAP)
+    asked = product_queries(spark, sf).select("query_id", "text")
+    return search.asked_once(asked, lambda texts: search.bm25_search(terms_of(texts), index, search.SEARCH_ROW_CAP))
 
 
 @query("bm25_search", with_views("offers products", f""", {CATALOG}

@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from aislegraph.functions import numbers, text
 from aislegraph.model import BASE_URL, EAN_REGEX
 from aislegraph.operators.maintenance import first_wins
+from aislegraph.session import worked_out
 from aislegraph.sources import variants as v
 from aislegraph.sources.payloads import _offers, kritikos_image, kritikos_prices
 
+
+
+def up_to(end: str) -> str:
+    """Everything before the next ``end``, a closing tag: in runs without ``<``, never taken back."""
+    return rf"(?:[^<]++|<(?!{end[1:]}))*+"
+
+
 # The markup each storefront serves.
 TILE_REGEX = (
     r'data-productsku="(\d+)"|'
-    r'<h4 class="product__title">\s*<a href="([^"]+)"[^>]*>([\s\S]*?)</a>'
+    rf'<h4 class="product__title">\s*<a href="([^"]+)"[^>]*>({up_to("</a>")})</a>'
 )
 SLUG_SKU_REGEX = r"-(\d{6,})/?$"
 PRICE_REGEX = r'(\d[\d.]*,\d{2})\s*€\s*(?:<[^>]*>\s*)*/\s*([^\s<&"]+)'
-H1_REGEX = r"<h1[^>]*>([\s\S]*?)</h1>"
+H1_REGEX = rf"<h1[^>]*>({up_to('</h1>')})</h1>"
 CODE_REGEX = r"Κωδικός:\s*(?:<[^>]+>\s*)*(\d+)"
 ANALYTICS_TILE_REGEX = (
     r'<a href="(https://www\.mymarket\.gr/[^"]+)"\s+rel="bookmark"'
     r'(?:[^>"]*+"[^"]*+")*?[^>"]*?data-google-analytics-item-param="([^"]+)"'
 )
-LD_JSON_REGEX = r'<script type="application/ld\+json">([\s\S]*?)</script>'
-NEXT_DATA_REGEX = r'<script id="__NEXT_DATA__" type="application/json">([\s\S]*?)</script>'
+LD_JSON_REGEX = rf'<script type="application/ld\+json">({up_to("</script>")})</script>'
+NEXT_DATA_REGEX = rf'<script id="__NEXT_DATA__" type="application/json">({up_to("</script>")})</script>'
 MEASURE_REGEX = (
     r'measure-label-wrapper">\s*<span class="font-semibold">([\d.,]+)\s*€</span>\s*'
     r"<span>Τιμή\s+(\S+)</span>"
@@ -43,43 +51,52 @@ def extract_tiles_sklavenitis(pages: DataFrame) -> DataFrame:
     A wishlist code belongs to the title right after it, so it is the element
     before the title in the list of matches.
     """
-    found = pages.filter(F.contains("html", F.lit("product__title"))).select(
-        "url", F.regexp_extract_all("html", F.lit(TILE_REGEX), 0).alias("hits")
-    )
+    # A page is searched once; what a tile holds is taken out of the tile.
+    found = worked_out(pages, "url", hits=F.regexp_extract_all("html", F.lit(TILE_REGEX), 0))
     # Shift the list by one instead of looking back by index: linear in the page.
-    before = F.concat(F.array(F.lit("")), F.slice("hits", 1, F.size("hits") - 1))
+    before = F.concat(F.array(F.lit("")), F.slice("hits", 1, F.greatest(F.size("hits") - 1, F.lit(0))))
     paired = F.arrays_zip(F.col("hits").alias("tile"), before.alias("before"))
-    tiles = found.filter(F.size("hits") > 0).select(
-        "url", F.posexplode(paired).alias("pos", "t")
-    ).select(F.col("url").alias("page_url"), "pos", "t.*").filter(F.startswith("tile", F.lit("<h4")))
-    href = F.regexp_extract("tile", TILE_REGEX, 2)
-    marked = F.regexp_extract("before", r'data-productsku="(\d+)"', 1)
-    sku = F.coalesce(_found(F.regexp_extract(href, SLUG_SKU_REGEX, 1)), _found(marked))
-    title = text.decode_entities(text.strip_tags(F.regexp_extract("tile", TILE_REGEX, 3)))
-    made = _offers(
-        tiles, "sklavenitis", ["page_url", "pos"], sku=sku, title=text.full_trim(title),
-        url=F.concat(F.lit(BASE_URL["sklavenitis"]), href),
+    tiles = found.select(F.col("url").alias("page_url"), F.posexplode(paired).alias("pos", "t")).filter(
+        F.startswith("t.tile", F.lit("<h4")))
+    # A tile's address is the fourth of its parts between quotes.
+    parts = worked_out(
+        tiles, "page_url", "pos", tile=F.col("t.tile"), href=F.split_part("t.tile", F.lit('"'), F.lit(4)),
+        marked=F.regexp_extract("t.before", r'^data-productsku="(\d+)"', 1),
+    )
+    coded = worked_out(
+        parts, "page_url", "pos", "href", "tile",
+        sku=F.coalesce(_found(F.regexp_extract("href", SLUG_SKU_REGEX, 1)), _found(F.col("marked"))),
+    ).filter(F.col("sku").isNotNull())
+    # A tile shown again is dropped before its title is taken out and cleaned.
+    firsts = first_wins(coded, ["page_url", "sku"], ["pos"])
+    title = text.full_trim(text.decode_entities(text.strip_tags(F.regexp_extract("tile", TILE_REGEX, 3))))
+    return _offers(
+        firsts, "sklavenitis", ["page_url", "pos"], sku=F.col("sku"), title=title,
+        url=F.concat(F.lit(BASE_URL["sklavenitis"]), "href"),
     )
-    return first_wins(made.filter(F.col("sku").isNotNull()), ["page_url", "sku"], ["pos"])
 
 
 def extract_tiles_mymarket(pages: DataFrame) -> DataFrame:
     """Tiles carrying entity-encoded JSON in an attribute; broken ones are skipped."""
-    links = F.regexp_extract_all("html", F.lit(ANALYTICS_TILE_REGEX), 1)
-    params = F.regexp_extract_all("html", F.lit(ANALYTICS_TILE_REGEX), 2)
-    tiles = pages.select(
-        F.col("url").alias("page_url"), F.posexplode(F.arrays_zip(links.alias("href"), params.alias("param")))
-        .alias("pos", "t"),
-    ).select("page_url", "pos", F.col("t.href").alias("href"),
-             v.parse(text.decode_entities(F.col("t.param"), text.TILE_ENTITIES)).alias("item"))
+    hits = F.regexp_extract_all("html", F.lit(ANALYTICS_TILE_REGEX), 0)
+    tiles = pages.select(F.col("url").alias("page_url"), F.posexplode(hits).alias("pos", "tile"))
+    # Between quotes: the address is the second part of a tile, the attribute the last one.
+    cut = worked_out(
+        tiles, "page_url", "pos", href=F.split_part("tile", F.lit('"'), F.lit(2)),
+        param=F.split_part("tile", F.lit('"'), F.lit(-2)),
+    )
+    parsed = worked_out(cut, "page_url", "pos", "href", item=v.parse(text.decode_entities(F.col("param"), text.TILE_ENTITIES)))
     item = F.col("item")
-    made = _offers(
-        tiles, "mymarket", ["page_url", "pos"], sku=v.text_at(item, "$.id"), title=v.text_at(item, "$.name"),
-        url=F.col("href"), brand=v.filled_at(item, "$.brand"),
-        price_piece=numbers.greek_number(v.text_at(item, "$.price")),
+    read = worked_out(
+        parsed, "page_url", "pos", "href", sku=v.text_at(item, "$.id"), title=v.text_at(item, "$.name"),
+        brand=v.filled_at(item, "$.brand"), price=v.text_at(item, "$.price"),
+    )
+    usable = read.filter(F.col("sku").isNotNull() & F.col("title").isNotNull())
+    firsts = first_wins(usable, ["page_url", "sku"], ["pos"])
+    return _offers(
+        firsts, "mymarket", ["page_url", "pos"], sku=F.col("sku"), title=F.col("title"), url=F.col("href"),
+        brand=F.col("brand"), price_piece=numbers.greek_number(F.col("price")),
     )
-    usable = made.filter(F.col("sku").isNotNull() & F.col("title").isNotNull())
-    return first_wins(usable, ["page_url", "sku"], ["pos"])
 
 
 def extract_page_sklavenitis(pages: DataFrame) -> DataFrame:
@@ -165,7 +182,7 @@ def extract_page_mymarket(pages: DataFrame) -> DataFrame:
 def extract_page_kritikos(pages: DataFrame) -> DataFrame:
     """Product state embedded in the page; pages without it are left out."""
     body = v.parse(F.regexp_extract("html", NEXT_DATA_REGEX, 1))
-    rows = pages.withColumn("item", F.try_variant_get(body, "$.props.pageProps.productSelected", "variant"))
+    rows = worked_out(pages, "url", item=F.try_variant_get(body, "$.props.pageProps.productSelected", "variant"))
     item = F.col("item")
     return _offers(
         rows.filter(item.isNotNull()), "kritikos", url=F.col("url"), sku=v.text_at(item, "$.sku"),

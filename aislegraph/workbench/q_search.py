@@ -159,12 +159,6 @@ rare AS (
 )"""
 
 
-def catalog_hits(spark, sf):
-    index = stored_index(spark, sf, "offers", offers_catalog)
-    asked = product_queries(spark, sf).select("query_id", "text")
-    return search.asked_once(asked, lambda texts: search.bm25_search(terms_of(texts), index, search.SEARCH_ROW_CAP))
-
-
 def coded_offers(spark, sf):
     return view(spark, sf, "offers").select("retailer", "sku", "title", "brand", F.col("product_ean").alias("ean"))
 
@@ -193,9 +187,8 @@ def bm25_search(spark, sf):
     SELECT query_id, retailer, sku, cat.product_ean, 1 FROM top JOIN cat USING (retailer, sku)
     ANTI JOIN exact USING (query_id, retailer, sku)"""))
 def ean_first_search(spark, sf):
-    return search.ean_first_search(
-        product_queries(spark, sf), offers_catalog(spark, sf), catalog_hits(spark, sf)
-    )
+    rows, listed = catalog_lists(spark, sf)
+    return search.ean_first_search(product_queries(spark, sf), rows, listed)
 
 
 @query("barcode_contains", with_views("offers products", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from aislegraph.functions import matching, numbers, text
+from aislegraph.session import stored
 from aislegraph.workbench import duck
 from aislegraph.workbench.registry import query
 from aislegraph.workbench.tables import load, view, with_views
@@ -285,10 +286,10 @@ def markup_text(spark, sf):
     FROM (SELECT sku, {duck.feature_columns("coalesce(brand || ' ', '') || title")} FROM offers)"""))
 def title_features(spark, sf):
     shown = F.concat_ws(" ", "brand", "title")
-    made = matching.title_features(view(spark, sf, "offers").select("sku", shown.alias("t")), F.col("t"))
-    return made.select(
-        "sku", joined("toks.stem").alias("stems"), joined(F.sort_array("keys")).alias("keys"),
+    rows = stored(view(spark, sf, "offers").select("sku", shown.alias("t")), "shown")
+    return matching.features_of_texts(
+        rows, "t", joined("toks.stem").alias("stems"), joined(F.sort_array("keys")).alias("keys"),
         F.col("size.value").alias("size_value"), F.col("size.unit").alias("size_unit"),
-        F.col("size.count").alias("size_count"), "pct",
+        F.col("size.count").alias("size_count"), F.col("pct"),
         *[F.col("variants")[i].alias(f"v{i}") for i in range(3)],
     )

@@ -167,3 +167,20 @@ def test_numbers_are_worked_out_once_and_read_every_kind_of_space(spark):
     spaced = spark.createDataFrame([("".join(f"a{c}" for c in text.WIDE_SPACES) + " \tω​＀",)], "t string")
     plain = spaced.select(text.plain_spaces(F.col("t")).alias("t")).head().t
     assert plain == "a " * len(text.WIDE_SPACES) + " \tω​＀"
+
+
+def test_features_are_worked_out_once_a_text(spark, monkeypatch):
+    from aislegraph.functions import matching
+
+    seen, made = [], matching.title_features
+
+    def told(frame, *rest):
+        seen.append(frame.count())
+        return made(frame, *rest)
+
+    monkeypatch.setattr(matching, "title_features", told)
+    titles = ["Γάλα 2% 1lt", "Τυρί 200g", "", None]
+    rows = spark.createDataFrame([(i, titles[i % 4]) for i in range(40)], "sku int, t string")
+    got = {r.sku: (r.pct, r.unit) for r in matching.features_of_texts(
+        rows, "t", F.col("pct"), F.col("size.unit").alias("unit")).collect()}
+    assert seen == [4] and got == {i: [(2.0, "ml"), (None, "g"), (None, None), (None, None)][i % 4] for i in range(40)}
